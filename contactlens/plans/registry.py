@@ -227,3 +227,426 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ = F  # re-exported helpers keep the import used
+
+
+# =====================================================================================
+# 2.2 profile
+# =====================================================================================
+from contactlens.operators import evaluate as EV  # noqa: E402
+from contactlens.operators import features as FE  # noqa: E402
+from contactlens.operators import profile as P  # noqa: E402
+from contactlens.operators import reshape as R  # noqa: E402
+from contactlens.operators import transform as T  # noqa: E402
+from contactlens.plans import preprocess as PP  # noqa: E402
+
+BUSINESS = S.CAMPAIGN_COLUMNS
+BUSINESS_SQL = ", ".join(q(c) for c in BUSINESS)
+
+
+@register("profile_head", with_campaign("SELECT * FROM campaign ORDER BY row_id LIMIT 10"))
+def _profile_head(spark, sf):
+    return P.profile_head(campaign(spark, sf))
+
+
+@register("profile_shape", with_campaign(f"SELECT COUNT(*) AS n_rows, {len(BUSINESS)} AS n_cols FROM campaign"))
+def _profile_shape(spark, sf):
+    return P.profile_shape(campaign(spark, sf))
+
+
+@register("profile_describe", with_campaign(_union_sql(
+    S.DESCRIBE_COLUMNS,
+    lambda c: (f"SELECT '{c}' AS variable, COUNT({c}) AS count, AVG({c}) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS std, "
+               f"CAST(MIN({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, "
+               f"quantile_cont({c}, 0.75) AS p75, CAST(MAX({c}) AS DOUBLE) AS max FROM campaign"))))
+def _profile_describe(spark, sf):
+    return P.profile_describe(campaign(spark, sf))
+
+
+_TYPE_NAMES = {"IntegerType()": "int", "StringType()": "string", "LongType()": "bigint"}
+
+
+@register("profile_missing", with_campaign(_union_sql(
+    list(enumerate(BUSINESS)),
+    lambda ic: (f"SELECT {ic[0]} AS position, '{ic[1]}' AS column, "
+                f"'{S.CAMPAIGN_SCHEMA[ic[1]].dataType.simpleString()}' AS dtype, "
+                f"COUNT(*) - COUNT({q(ic[1])}) AS n_missing FROM campaign"))))
+def _profile_missing(spark, sf):
+    return P.profile_missing(campaign(spark, sf))
+
+
+@register("profile_duplicates", with_campaign(
+    f"SELECT row_id, {BUSINESS_SQL} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {BUSINESS_SQL} ORDER BY row_id) AS rn "
+    "FROM campaign) WHERE rn > 1"))
+def _profile_duplicates(spark, sf):
+    return P.profile_duplicates(campaign(spark, sf))
+
+
+DUP_SUBSET = ["job", "marital", "education", "housing", "loan", "contact", "poutcome", "deposit"]
+DUP_SUBSET_SQL = ", ".join(DUP_SUBSET)
+
+
+@register("profile_duplicates_subset", with_campaign(
+    f"SELECT row_id, {DUP_SUBSET_SQL} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {DUP_SUBSET_SQL} ORDER BY row_id) AS rn "
+    "FROM campaign) WHERE rn > 1"))
+def _profile_duplicates_subset(spark, sf):
+    return P.profile_duplicates(campaign(spark, sf).select("row_id", *DUP_SUBSET))
+
+
+@register("distinct_values", with_campaign("SELECT job, MIN(row_id) AS first_row FROM campaign GROUP BY job"))
+def _distinct_values(spark, sf):
+    return P.distinct_values(campaign(spark, sf), "job")
+
+
+# =====================================================================================
+# 2.3 filters, projections, scalar expressions
+# =====================================================================================
+
+@register("filter_eq", with_campaign("SELECT * FROM campaign WHERE deposit = 'yes'"))
+def _filter_eq(spark, sf):
+    return T.filter_eq(campaign(spark, sf), "deposit", "yes")
+
+
+@register("filter_ne", with_campaign("SELECT * FROM campaign WHERE education IS DISTINCT FROM 'unknown'"))
+def _filter_ne(spark, sf):
+    return T.filter_ne(campaign(spark, sf), "education", "unknown")
+
+
+@register("drop_columns", with_campaign("SELECT * EXCLUDE (deposit, age, pdays) FROM campaign"))
+def _drop_columns(spark, sf):
+    return T.drop_columns(campaign(spark, sf), ["deposit", "age", "pdays", "not_a_column"])
+
+
+MINUTES_SQL = "round_even(CAST(duration AS DOUBLE) / 60e0 * 100e0, 0) / 100e0"
+
+
+@register("duration_minutes", with_campaign(f"SELECT row_id, duration, {MINUTES_SQL} AS duration_minutes FROM campaign"))
+def _duration_minutes(spark, sf):
+    return T.with_duration_minutes(campaign(spark, sf)).select("row_id", "duration", "duration_minutes")
+
+
+@register("target_flag", with_campaign(
+    "SELECT row_id, deposit, CASE WHEN deposit = 'yes' THEN 1 ELSE 0 END AS deposit_num FROM campaign"))
+def _target_flag(spark, sf):
+    return T.with_target_flag(campaign(spark, sf)).select("row_id", "deposit", "deposit_num")
+
+
+@register("bucketize", with_campaign(
+    f"SELECT row_id, age, {AGE_CAT_LEFT_SQL} AS age_cat, {AGE_CAT_RIGHT_SQL} AS age_cat_right FROM campaign"))
+def _bucketize(spark, sf):
+    return T.with_age_categories(campaign(spark, sf)).select("row_id", "age", "age_cat", "age_cat_right")
+
+
+@register("replace_unknown_with_mode", with_campaign(
+    "SELECT row_id, CASE WHEN education = 'unknown' THEN (SELECT education FROM campaign WHERE education <> 'unknown' "
+    "GROUP BY education ORDER BY COUNT(*) DESC, education LIMIT 1) ELSE education END AS education FROM campaign"))
+def _replace_unknown(spark, sf):
+    return T.replace_unknown_with_mode(campaign(spark, sf), "education").select("row_id", "education")
+
+
+@register("split_sentinel", with_campaign(
+    "SELECT row_id, CASE WHEN pdays = -1 THEN 'no' ELSE 'yes' END AS pdays_contact, "
+    "CASE WHEN pdays = -1 THEN 0 ELSE pdays END AS pdays_days FROM campaign"))
+def _split_sentinel(spark, sf):
+    return T.split_sentinel(campaign(spark, sf)).select("row_id", "pdays_contact", "pdays_days")
+
+
+@register("map_month", with_campaign(f"SELECT row_id, month, {MONTH_NUM_SQL} AS month_num FROM campaign"))
+def _map_month(spark, sf):
+    return T.with_month_number(campaign(spark, sf), name="month_num").select("row_id", "month", "month_num")
+
+
+@register("contact_segment", with_campaign(
+    "SELECT row_id, previous, CASE WHEN previous = 0 THEN 'non contactés' ELSE 'contactés' END AS \"group\" FROM campaign"))
+def _contact_segment(spark, sf):
+    return T.with_contact_segment(campaign(spark, sf)).select("row_id", "previous", "group")
+
+
+@register("format_percent", with_campaign(
+    f"SELECT variable, value, deposit, printf('%.2f%%', percent) AS percent_label FROM ({_crosstab_sql(['job', 'marital', 'poutcome'], 'campaign')})"))
+def _format_percent(spark, sf):
+    ct = stats.crosstab_rate(campaign(spark, sf), ["job", "marital", "poutcome"])
+    return ct.select("variable", "value", "deposit", X.format_percent("percent").alias("percent_label"))
+
+
+# =====================================================================================
+# 2.5 window, reshape, sort
+# =====================================================================================
+
+SEGMENT_SQL = ("SELECT \"group\", deposit, count, round_even(CAST(count AS DOUBLE) / SUM(count) OVER (PARTITION BY \"group\") "
+               "* 100e0 * 100e0, 0) / 100e0 AS percentage FROM (SELECT CASE WHEN previous = 0 THEN 'non contactés' "
+               "ELSE 'contactés' END AS \"group\", deposit, COUNT(*) AS count FROM campaign GROUP BY 1, 2)")
+
+
+@register("segment_share", with_campaign(
+    f"SELECT *, CAST(percentage AS VARCHAR) || '%' AS label FROM ({SEGMENT_SQL})"))
+def _segment_share(spark, sf):
+    return R.segment_share(T.with_contact_segment(campaign(spark, sf)))
+
+
+@register("pivot_counts", with_campaign(
+    "SELECT job, COUNT(*) FILTER (WHERE deposit = 'yes') AS yes, COUNT(*) FILTER (WHERE deposit = 'no') AS no "
+    "FROM campaign GROUP BY job"))
+def _pivot_counts(spark, sf):
+    return R.pivot_counts(campaign(spark, sf), "job", fill=0)
+
+
+@register("unpivot_counts", with_campaign(
+    "SELECT job, deposit, COUNT(*) AS count FROM campaign GROUP BY job, deposit"))
+def _unpivot_counts(spark, sf):
+    return R.unpivot_counts(R.pivot_counts(campaign(spark, sf), "job", fill=0), "job")
+
+
+@register("sort_by", with_campaign("SELECT * FROM campaign ORDER BY balance DESC, row_id"))
+def _sort_by(spark, sf):
+    return R.sort_by(campaign(spark, sf), ["balance"], ascending=False)
+
+
+# =====================================================================================
+# 2.6 feature engineering
+# =====================================================================================
+
+SPLIT_SQL = "(('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':42'), 1, 8))::BIGINT < 1073741824)"
+
+PREP_CTE = (
+    f"p AS (SELECT row_id, job, marital, education, \"default\", balance, housing, loan, contact, day, "
+    f"{MONTH_NUM_SQL} AS month, duration, campaign, previous, poutcome, deposit, {AGE_CAT_LEFT_SQL} AS age_cat, "
+    f"CASE WHEN pdays = -1 THEN 'no' ELSE 'yes' END AS pdays_contact, CASE WHEN pdays = -1 THEN 0 ELSE pdays END AS pdays_days, "
+    f"{SPLIT_SQL} AS is_test FROM campaign), "
+    "tr AS (SELECT * FROM p WHERE NOT is_test), "
+    "md AS (SELECT education AS m FROM tr WHERE education <> 'unknown' GROUP BY education ORDER BY COUNT(*) DESC, education LIMIT 1)")
+
+# categories of the fixture (one per value of the warehouse columns it derives from)
+FIXTURE_CATEGORIES = {
+    "job": ["automobile", "building", "furniture", "household", "machinery"],
+    "marital": ["divorced", "married", "single"],
+    "contact": ["cellular", "telephone", "unknown"],
+    "poutcome": ["failure", "other", "success", "unknown"],
+}
+ROBUST_COLS = ["balance", "campaign", "duration", "previous", "pdays_days"]
+
+
+def _robust_cte(cols=ROBUST_COLS, src="tr") -> str:
+    qs = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_a, quantile_cont({c}, 0.5) AS {c}_b, quantile_cont({c}, 0.75) AS {c}_c"
+                   for c in cols)
+    return f"rq AS (SELECT {qs} FROM {src})"
+
+
+def _robust_sql(c: str) -> str:
+    return (f"CASE WHEN {c}_c - {c}_a = 0 THEN CAST({c} AS DOUBLE) - {c}_b "
+            f"ELSE (CAST({c} AS DOUBLE) - {c}_b) / ({c}_c - {c}_a) END AS {c}")
+
+
+def _standard_cte(cols, src="tr") -> str:
+    parts = ", ".join(
+        f"CAST(SUM({c}) AS DOUBLE) / CAST(COUNT({c}) AS DOUBLE) AS {c}_m, "
+        f"SQRT(CAST(COUNT({c}) * SUM(CAST({c} AS HUGEINT) * {c}) - SUM({c}) * SUM({c}) AS DOUBLE) "
+        f"/ (CAST(COUNT({c}) AS DOUBLE) * CAST(COUNT({c}) AS DOUBLE))) AS {c}_s" for c in cols)
+    return f"sq AS (SELECT {parts} FROM {src})"
+
+
+def _standard_sql(c: str) -> str:
+    return (f"CASE WHEN {c}_s = 0 THEN CAST({c} AS DOUBLE) - {c}_m "
+            f"ELSE (CAST({c} AS DOUBLE) - {c}_m) / {c}_s END AS {c}")
+
+
+BINARY_SQL = [f"CASE {q(c)} WHEN 'yes' THEN 1.0 WHEN 'no' THEN 0.0 END AS {q(c)}" for c in S.BINARY_FEATURES]
+ONEHOT_SQL = [f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS {c}_{v}" for c, vs in FIXTURE_CATEGORIES.items() for v in vs]
+EDU_SQL = ("CAST(CASE COALESCE(CASE WHEN education = 'unknown' THEN md.m ELSE education END, '') "
+           "WHEN 'primary' THEN 0 WHEN 'secondary' THEN 1 WHEN 'tertiary' THEN 2 END AS DOUBLE) AS education")
+AGECAT_ORD_SQL = ("CAST(CASE age_cat " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(S.AGE_LABELS))
+                  + " END AS DOUBLE) AS age_cat")
+TWO_PI = "(2 * PI())"
+CYCLIC_SQL = [f"SIN({TWO_PI} * day / 31e0) AS day_sin", f"COS({TWO_PI} * day / 31e0) AS day_cos",
+              f"SIN({TWO_PI} * month / 12e0) AS month_sin", f"COS({TWO_PI} * month / 12e0) AS month_cos"]
+LABEL_SQL = "CASE deposit WHEN 'no' THEN 0.0 WHEN 'yes' THEN 1.0 END AS label"
+
+
+def _prepared(spark, sf, options=None):
+    return PP.preprocess(campaign(spark, sf), options)
+
+
+@register("train_test_split", with_campaign(f"SELECT row_id, {SPLIT_SQL} AS is_test FROM campaign"))
+def _train_test_split(spark, sf):
+    return FE.train_test_split(campaign(spark, sf)).select("row_id", "is_test")
+
+
+@register("encode_binary", with_campaign(f"SELECT row_id, {', '.join(BINARY_SQL)} FROM p", PREP_CTE))
+def _encode_binary(spark, sf):
+    return _prepared(spark, sf).select("row_id", *FE.encode_binary())
+
+
+@register("encode_onehot", with_campaign(f"SELECT row_id, {', '.join(ONEHOT_SQL)} FROM p", PREP_CTE))
+def _encode_onehot(spark, sf):
+    prep = _prepared(spark, sf)
+    enc = FE.fit_encoding(prep.where(~F.col("is_test")))
+    return prep.select("row_id", *FE.encode_onehot(enc.categories))
+
+
+@register("encode_ordinal", with_campaign(f"SELECT row_id, {EDU_SQL}, {AGECAT_ORD_SQL} FROM p, md", PREP_CTE))
+def _encode_ordinal(spark, sf):
+    prep = _prepared(spark, sf)
+    prep = T.replace_unknown_with_mode(prep, "education", fit=prep.where(~F.col("is_test")))
+    return prep.select("row_id", FE.encode_ordinal("education", S.EDUCATION_ORDER),
+                       FE.encode_ordinal("age_cat", S.AGE_LABELS))
+
+
+@register("encode_cyclic", with_campaign(f"SELECT row_id, {', '.join(CYCLIC_SQL)} FROM p", PREP_CTE))
+def _encode_cyclic(spark, sf):
+    return _prepared(spark, sf).select("row_id", *FE.encode_cyclic("day", 31), *FE.encode_cyclic("month", 12))
+
+
+@register("scale_robust", with_campaign(
+    f"SELECT row_id, {', '.join(_robust_sql(c) for c in ROBUST_COLS)} FROM p, rq", PREP_CTE, _robust_cte()))
+def _scale_robust(spark, sf):
+    prep = _prepared(spark, sf)
+    enc = FE.fit_encoding(prep.where(~F.col("is_test")))
+    return prep.select("row_id", *[FE.scale(c, *enc.numeric[c]) for c in ROBUST_COLS])
+
+
+@register("scale_standard", with_campaign(
+    f"SELECT row_id, {', '.join(_standard_sql(c) for c in ROBUST_COLS)} FROM p, sq", PREP_CTE, _standard_cte(ROBUST_COLS)))
+def _scale_standard(spark, sf):
+    prep = _prepared(spark, sf)
+    enc = FE.fit_encoding(prep.where(~F.col("is_test")), FE.PRESETS[3])
+    return prep.select("row_id", *[FE.scale(c, *enc.numeric[c]) for c in ROBUST_COLS])
+
+
+@register("encode_label", with_campaign(f"SELECT row_id, {LABEL_SQL} FROM p", PREP_CTE))
+def _encode_label(spark, sf):
+    prep = _prepared(spark, sf)
+    enc = FE.fit_encoding(prep.where(~F.col("is_test")))
+    return prep.select("row_id", FE.encode_label("deposit", enc.label_classes))
+
+
+@register("preprocess", with_campaign("SELECT * FROM p", PREP_CTE))
+def _preprocess(spark, sf):
+    return _prepared(spark, sf)
+
+
+ENCODED_SQL = with_campaign(
+    f"SELECT row_id, is_test, {LABEL_SQL}, {', '.join(BINARY_SQL)}, {', '.join(ONEHOT_SQL)}, {EDU_SQL}, {AGECAT_ORD_SQL}, "
+    f"{', '.join(CYCLIC_SQL)}, {', '.join(_robust_sql(c) for c in ROBUST_COLS)} FROM p, md, rq",
+    PREP_CTE, _robust_cte())
+
+
+@register("preprocess_and_transform", ENCODED_SQL)
+def _preprocess_and_transform(spark, sf):
+    return PP.preprocess_and_transform(campaign(spark, sf))[0]
+
+
+def _variant_sql(v: int) -> str:
+    o = FE.PRESETS[v]
+    g = FE.feature_groups(o)
+    binary = [b for c, b in zip(S.BINARY_FEATURES, BINARY_SQL) if c in g["binary"]]
+    ordinal = [EDU_SQL] + ([AGECAT_ORD_SQL] if o.bin_age else [])
+    num = g["numeric"]
+    if o.scaler == "robust":
+        scaled, cte = [_robust_sql(c) for c in num], _robust_cte(num)
+        src = "p, md, rq"
+    else:
+        scaled, cte = [_standard_sql(c) for c in num], _standard_cte(num)
+        src = "p, md, sq"
+    prep = PREP_CTE.replace(" pdays_days, ", " pdays_days, pdays, age, ")
+    return with_campaign(
+        f"SELECT row_id, is_test, {LABEL_SQL}, {', '.join(binary)}, {', '.join(ONEHOT_SQL)}, {', '.join(ordinal)}, "
+        f"{', '.join(CYCLIC_SQL)}, {', '.join(scaled)} FROM {src}", prep, cte)
+
+
+@register("pipeline_variants", _variant_sql(1))
+def _pipeline_variant_1(spark, sf):
+    return PP.preprocess_and_transform(campaign(spark, sf), FE.PRESETS[1])[0]
+
+
+@register("pipeline_variant_3", _variant_sql(3))
+def _pipeline_variant_3(spark, sf):
+    return PP.preprocess_and_transform(campaign(spark, sf), FE.PRESETS[3])[0]
+
+
+@register("pipeline_variant_4", _variant_sql(4))
+def _pipeline_variant_4(spark, sf):
+    return PP.preprocess_and_transform(campaign(spark, sf), FE.PRESETS[4])[0]
+
+
+# =====================================================================================
+# 2.7 evaluation with a fixed-rule predictor (exact in SQL)
+# =====================================================================================
+
+RULES = {"long_call": "duration > 1900", "long_or_success": "duration > 1500 OR poutcome = 'success'",
+         "no_housing": "housing = 'no'"}
+
+
+def _rule_pred(spark, sf, rule: str = "long_call"):
+    df = FE.train_test_split(campaign(spark, sf)).where(F.col("is_test"))
+    return EV.rule_predictions(df, F.expr(RULES[rule]), F.col("deposit") == "yes")
+
+
+def _pred_cte(rule: str = "long_call", name: str = "pr") -> str:
+    return (f"{name} AS (SELECT row_id, CASE WHEN deposit = 'yes' THEN 1.0 ELSE 0.0 END AS label, "
+            f"CASE WHEN COALESCE({RULES[rule]}, false) THEN 1.0 ELSE 0.0 END AS prediction "
+            f"FROM campaign WHERE {SPLIT_SQL})")
+
+
+def _metrics_sql(src: str = "pr") -> str:
+    r = "COALESCE(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0)"
+    return (f"SELECT tp, fp, fn, tn, {r.format(a='tp + tn', b='tp + fp + fn + tn')} AS accuracy, "
+            f"{r.format(a='tp', b='tp + fp')} AS precision, {r.format(a='tp', b='tp + fn')} AS recall, "
+            f"{r.format(a='2 * tp', b='2 * tp + fp + fn')} AS f1 FROM ("
+            f"SELECT COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, "
+            f"COUNT(*) FILTER (WHERE label <> 1 AND prediction = 1) AS fp, "
+            f"COUNT(*) FILTER (WHERE label = 1 AND prediction <> 1) AS fn, "
+            f"COUNT(*) FILTER (WHERE label <> 1 AND prediction <> 1) AS tn FROM {src})")
+
+
+@register("binary_metrics", with_campaign(_metrics_sql(), _pred_cte()))
+def _binary_metrics(spark, sf):
+    return EV.binary_metrics(_rule_pred(spark, sf))
+
+
+@register("confusion_matrix", with_campaign(
+    "SELECT g.actual, g.predicted, COALESCE(c.count, 0) AS count FROM "
+    "(SELECT a.v AS actual, b.v AS predicted FROM (VALUES (0.0), (1.0)) a(v), (VALUES (0.0), (1.0)) b(v)) g "
+    "LEFT JOIN (SELECT label AS actual, prediction AS predicted, COUNT(*) AS count FROM pr GROUP BY 1, 2) c "
+    "USING (actual, predicted)", _pred_cte()))
+def _confusion_matrix(spark, sf):
+    return EV.confusion_matrix(_rule_pred(spark, sf))
+
+
+def _report_sql() -> str:
+    r = "COALESCE(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0)"
+    per = []
+    for i, c in enumerate(("0", "1")):
+        pr_, rc_ = r.format(a=f"tp{i}", b=f"pp{i}"), r.format(a=f"tp{i}", b=f"sup{i}")
+        per.append((c, pr_, rc_, r.format(a=f"2 * {pr_} * {rc_}", b=f"{pr_} + {rc_}"), f"sup{i}"))
+    rows = [f"SELECT '{c}' AS class, {p_} AS precision, {r_} AS recall, {f_} AS f1_score, {s_} AS support FROM cells"
+            for c, p_, r_, f_, s_ in per]
+    rows.append(f"SELECT 'accuracy', NULL::DOUBLE, NULL::DOUBLE, {r.format(a='hits', b='n')}, n FROM cells")
+    rows.append(f"SELECT 'macro avg', (0.0 + {per[0][1]} + {per[1][1]}) / 2e0, (0.0 + {per[0][2]} + {per[1][2]}) / 2e0, "
+                f"(0.0 + {per[0][3]} + {per[1][3]}) / 2e0, n FROM cells")
+    rows.append(f"SELECT 'weighted avg', (0.0 + {per[0][1]} * sup0 + {per[1][1]} * sup1) / CAST(n AS DOUBLE), "
+                f"(0.0 + {per[0][2]} * sup0 + {per[1][2]} * sup1) / CAST(n AS DOUBLE), "
+                f"(0.0 + {per[0][3]} * sup0 + {per[1][3]} * sup1) / CAST(n AS DOUBLE), n FROM cells")
+    cells = ("cells AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE label = prediction) AS hits, "
+             + ", ".join(f"COUNT(*) FILTER (WHERE label = {c} AND prediction = {c}) AS tp{i}, "
+                         f"COUNT(*) FILTER (WHERE prediction = {c}) AS pp{i}, COUNT(*) FILTER (WHERE label = {c}) AS sup{i}"
+                         for i, c in enumerate(("0.0", "1.0"))) + " FROM pr)")
+    return with_campaign(" UNION ALL ".join(rows), _pred_cte(), cells)
+
+
+@register("classification_report", _report_sql())
+def _classification_report(spark, sf):
+    return EV.classification_report(_rule_pred(spark, sf))
+
+
+def _compare_sql() -> str:
+    ctes = [_pred_cte(r, f"pr_{r}") for r in RULES]
+    parts = []
+    for r in RULES:
+        for m in ("accuracy", "precision", "recall", "f1"):
+            parts.append(f"SELECT '{r}' AS model, '{m}' AS metric, round_even({m} * 1000e0, 0) / 1000e0 AS value "
+                         f"FROM ({_metrics_sql(f'pr_{r}')})")
+    return with_campaign(" UNION ALL ".join(parts), *ctes)
+
+
+@register("compare_models", _compare_sql())
+def _compare_models(spark, sf):
+    return EV.compare_models({r: EV.binary_metrics(_rule_pred(spark, sf, r)) for r in RULES})
