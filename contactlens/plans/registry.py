@@ -650,3 +650,108 @@ def _compare_sql() -> str:
 @register("compare_models", _compare_sql())
 def _compare_models(spark, sf):
     return EV.compare_models({r: EV.binary_metrics(_rule_pred(spark, sf, r)) for r in RULES})
+
+
+# =====================================================================================
+# 2.1 persistence and 2.7 models (rows-only checks: trained models have no SQL form)
+# =====================================================================================
+import threading  # noqa: E402
+
+from contactlens.operators import models as M  # noqa: E402
+from contactlens.sources.storage import scratch_dir  # noqa: E402
+
+_FITTED: dict[tuple, object] = {}
+_FIT_LOCK = threading.Lock()
+
+
+def encoded_table(spark, sf, with_duration: bool = False):
+    """Encoded contacts (preset 2); the final models leave ``duration`` out."""
+    enc = PP.preprocess_and_transform(campaign(spark, sf))[0]
+    return enc if with_duration else PP.remove_duration(enc)
+
+
+def fitted(spark, sf, preset: str, with_duration: bool = False):
+    """One fit per (session, input, preset) in this process; later queries reuse it."""
+    key = (id(spark), sf, preset, with_duration)
+    with _FIT_LOCK:
+        if key not in _FITTED:
+            _FITTED[key] = M.train_preset(encoded_table(spark, sf, with_duration), preset)
+        return _FITTED[key]
+
+
+def _metrics_of(spark, sf, preset: str, with_duration: bool = False):
+    m = fitted(spark, sf, preset, with_duration)
+    return M.evaluate_model(m, encoded_table(spark, sf, with_duration)).select(F.lit(preset).alias("model"), "*")
+
+
+@register("train_random_forest")
+def _train_random_forest(spark, sf):
+    return _metrics_of(spark, sf, "random_forest")
+
+
+@register("train_gbt_depthwise")
+def _train_gbt_depthwise(spark, sf):
+    return _metrics_of(spark, sf, "gbt_depthwise")
+
+
+@register("train_gbt_leafwise")
+def _train_gbt_leafwise(spark, sf):
+    return _metrics_of(spark, sf, "gbt_leafwise")
+
+
+@register("score_batch")
+def _score_batch(spark, sf):
+    enc = encoded_table(spark, sf)
+    return M.score_batch(fitted(spark, sf, "random_forest"), enc.where(F.col("is_test")))
+
+
+@register("feature_importances")
+def _feature_importances(spark, sf):
+    return M.feature_importances(fitted(spark, sf, "random_forest"))
+
+
+@register("feature_ablation")
+def _feature_ablation(spark, sf):
+    return (_metrics_of(spark, sf, "random_forest", True).withColumn("features", F.lit("with duration"))
+            .unionByName(_metrics_of(spark, sf, "random_forest", False).withColumn("features", F.lit("without duration"))))
+
+
+def _model_path(spark, sf, preset: str) -> str:
+    from contactlens.sources.campaign import _key
+    return f"{scratch_dir(spark)}/contactlens/models/{preset}-{_key(sf)}"
+
+
+@register("save_model")
+def _save_model(spark, sf):
+    path = M.save_model(fitted(spark, sf, "random_forest"), _model_path(spark, sf, "random_forest"))
+    # the saved stage metadata, read back from the written folder
+    return (spark.read.json(f"{path}/stages/*/metadata")
+            .select(F.col("class").alias("stage_class"), F.col("uid").alias("stage_uid"), "sparkVersion"))
+
+
+@register("load_model")
+def _load_model(spark, sf):
+    missing = M.load_model(f"{scratch_dir(spark)}/contactlens/models/does-not-exist")
+    if missing is not None:
+        raise AssertionError("a missing model must load as None")
+    path = _model_path(spark, sf, "random_forest")
+    model = M.load_model(path)
+    if model is None:
+        model = M.load_model(M.save_model(fitted(spark, sf, "random_forest"), path))
+    test = encoded_table(spark, sf).where(F.col("is_test"))
+    a = M.score_batch(fitted(spark, sf, "random_forest"), test).select("row_id", "prediction")
+    b = M.score_batch(model, test).select("row_id", F.col("prediction").alias("prediction_reloaded"))
+    return a.join(b, "row_id")
+
+
+@register("model_bakeoff")
+def _model_bakeoff(spark, sf):
+    return M.model_bakeoff(encoded_table(spark, sf)).drop("fit_seconds")
+
+
+@register("grid_search")
+def _grid_search(spark, sf):
+    from pyspark.ml.classification import RandomForestClassifier
+    grid = {"numTrees": [50, 100], "maxDepth": [5, 10]}
+    est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=42)
+    return M.grid_search(encoded_table(spark, sf), est, grid, folds=3, parallelism=4)[1]
