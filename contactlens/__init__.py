@@ -1,0 +1,2 @@
+"""contactlens: campaign analytics (profiling, success-rate reports, feature
+preparation, classifiers) as Spark DataFrame and Spark ML code."""
