@@ -168,7 +168,7 @@ def _crosstab_rate(spark, sf):
 
 
 @register("category_order", with_campaign(
-    "SELECT variable, value, count, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY count DESC, value) AS rank FROM ("
+    "SELECT variable, value, count, CAST(ROW_NUMBER() OVER (PARTITION BY variable ORDER BY count DESC, value) AS INTEGER) AS rank FROM ("
     + _union_sql(["job", "education", "month"],
                  lambda c: f"SELECT '{c}' AS variable, {c} AS value, COUNT(*) AS count FROM campaign GROUP BY 2")
     + ")"))
@@ -179,7 +179,7 @@ def _category_order(spark, sf):
 @register("count_by_month_target", with_campaign(
     "SELECT c.month, c.deposit, c.count, r.month_rank FROM "
     "(SELECT month, deposit, COUNT(*) AS count FROM campaign GROUP BY month, deposit) c LEFT JOIN "
-    "(SELECT month, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, month) AS month_rank FROM campaign GROUP BY month) r "
+    "(SELECT month, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, month) AS INTEGER) AS month_rank FROM campaign GROUP BY month) r "
     "USING (month)"))
 def _count_by_month_target(spark, sf):
     return stats.count_by_month_target(campaign(spark, sf))

@@ -12,7 +12,6 @@ import os
 import tempfile
 import threading
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
@@ -69,8 +68,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, key: str) -> Data
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the path only
-        return True
-    except AnalysisException:
-        return False
+    """Path test on whatever file system the path names (HDFS, S3, local)."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
