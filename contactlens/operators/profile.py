@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlens.functions import expressions as X
@@ -34,26 +34,26 @@ def profile_describe(df: DataFrame, columns: Sequence[str] = S.DESCRIBE_COLUMNS,
     """count, mean, std (sample), min, 25/50/75% (linear), max per numeric column.
 
     Built on the (variable, value) count table: exact quantiles without
-    holding raw rows, and a two-pass (centred) variance over the distinct
-    values. The per-variable means join back by broadcast: one row per
-    described column.
+    holding raw rows, and a centred variance over the distinct values. One
+    scan of the input.
     """
     long = (df.select(*[X.col(c).cast("double").alias(c) for c in columns])
             .unpivot([], list(columns), "variable", "value")
             .where(F.col("value").isNotNull()))
     vc = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    first = vc.groupBy("variable").agg(
-        F.sum("cnt").alias("count"),
-        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
+    # the mean rides along as a window aggregate over the value-count rows of
+    # the same variable, so the centred variance needs no second pass
+    w = Window.partitionBy("variable")
+    vc = vc.withColumn("mean", F.sum(F.col("value") * F.col("cnt")).over(w) / F.sum("cnt").over(w))
+    stats = vc.groupBy("variable").agg(
+        F.sum("cnt").alias("count"), F.first("mean").alias("mean"),
+        F.sqrt(F.try_divide(F.sum(F.col("cnt") * (F.col("value") - F.col("mean")) ** 2),
+                            F.sum("cnt") - 1)).alias("std"),
         F.min("value").alias("min"),
         F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt")).alias("q"),
         F.max("value").alias("max"))
-    spread = (vc.join(F.broadcast(first.select("variable", "mean")), "variable")
-              .groupBy("variable")
-              .agg(F.sqrt(F.try_divide(F.sum(F.col("cnt") * (F.col("value") - F.col("mean")) ** 2),
-                                       F.sum("cnt") - 1)).alias("std")))
     std = F.round("std", std_digits) if std_digits is not None else F.col("std")
-    return first.join(spread, "variable").select(
+    return stats.select(
         "variable", "count", "mean", std.alias("std"), "min",
         F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 

@@ -86,17 +86,19 @@ def numeric_histogram(df: DataFrame, columns: Sequence[str] = S.HISTOGRAM_COLUMN
     """Equal-width histogram per column: ``(variable, bin, bin_lo, bin_hi, count)``.
 
     Bin ``i`` covers ``[min + i*w, min + (i+1)*w)`` with ``w = (max-min)/n_bins``;
-    the maximum falls in the last bin. The range table has one row per
-    column, so broadcasting it is bounded by the column list.
+    the maximum falls in the last bin. One scan: rows are counted per
+    (column, value) first, so later steps see distinct values only.
     """
-    long = _long(df, columns, cast="bigint").where(F.col("value").isNotNull())
-    rng = long.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    vc = (_long(df, columns, cast="bigint").where(F.col("value").isNotNull())
+          .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    # range per column as window aggregates over its distinct values (one scan in all)
+    wv = Window.partitionBy("variable")
+    vc = vc.withColumn("lo", F.min("value").over(wv)).withColumn("hi", F.max("value").over(wv))
     w = (F.col("hi") - F.col("lo")).cast("double") / F.lit(float(n_bins))
     b = F.coalesce(F.least(F.floor(F.try_divide((F.col("value") - F.col("lo")).cast("double"), w)),
                            F.lit(n_bins - 1)), F.lit(0)).cast("int")
-    binned = long.join(F.broadcast(rng), "variable").select(
-        "variable", b.alias("bin"), "lo", w.alias("w"))
-    return (binned.groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("count"),
+    binned = vc.select("variable", b.alias("bin"), "lo", w.alias("w"), "cnt")
+    return (binned.groupBy("variable", "bin").agg(F.sum("cnt").alias("count"),
                                                   F.first("lo").alias("lo"), F.first("w").alias("w"))
             .select("variable", "bin",
                     (F.col("lo") + F.col("bin") * F.col("w")).alias("bin_lo"),
@@ -153,12 +155,11 @@ def crosstab_rate(df: DataFrame, dims: Sequence[str], target: str = S.TARGET,
     counts = long.groupBy("variable", "value").agg(
         *[F.count_if(F.col(target) == F.lit(v)).alias(f"n{i}") for i, v in enumerate(values)])
     if levels:
-        spark = df.sparkSession
-        lv = spark.createDataFrame([(d, v) for d, vs in levels.items() for v in vs],
-                                   "variable string, value string")
-        counts = (lv.join(counts, ["variable", "value"], "left")
-                  .unionByName(counts.join(F.broadcast(lv), ["variable", "value"], "left_anti")))
-        counts = counts.fillna(0, [f"n{i}" for i in range(len(values))])
+        # one outer join with the listed levels (a small literal table): empty bins appear
+        lv = df.sparkSession.createDataFrame([(d, v) for d, vs in levels.items() for v in vs],
+                                             "variable string, value string")
+        counts = (counts.join(lv, ["variable", "value"], "full_outer")
+                  .fillna(0, [f"n{i}" for i in range(len(values))]))
     del t
     total = sum((F.col(f"n{i}") for i in range(1, len(values))), F.col("n0"))
     cells = F.array(*[F.struct(F.lit(v).alias(target), F.col(f"n{i}").alias("count"))
@@ -210,26 +211,28 @@ def box_summary(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS,
                 target: str = S.TARGET) -> DataFrame:
     """Five-number summary, 1.5 IQR fences, whiskers and outlier count per (variable, target).
 
-    Everything is computed on the (variable, target, value) count table, so
-    no step holds more than the distinct values of one column.
+    One scan: the rows become a (variable, target, value) count table; the
+    quartiles are window aggregates over that table partitioned by
+    (variable, target), so every count row sees its group's fences, and one
+    grouped aggregate finishes whiskers and outlier counts. No step holds
+    more than the distinct values of one column for one target value.
     """
     vc = (_box_long(df, columns, target).groupBy("variable", target, "value")
           .agg(F.count(F.lit(1)).alias("cnt")))
-    q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt"))
-    stats = (vc.groupBy("variable", target)
-             .agg(F.sum("cnt").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
-             .select("variable", target, "n", F.col("min").cast("double").alias("min"),
-                     F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-                     F.col("max").cast("double").alias("max"))
-             .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
-             .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
+    w = Window.partitionBy("variable", target)
+    q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt")).over(w)
+    fenced = (vc.withColumn("q", q)
+              .withColumn("lower_fence", F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]))
+              .withColumn("upper_fence", F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])))
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
-    whisk = (vc.join(stats.select("variable", target, "lower_fence", "upper_fence"), ["variable", target])
-             .groupBy("variable", target)
-             .agg(F.min(F.when(inside, F.col("value"))).cast("double").alias("whisker_lo"),
-                  F.max(F.when(inside, F.col("value"))).cast("double").alias("whisker_hi"),
-                  F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_outliers")))
-    return stats.join(whisk, ["variable", target])
+    return (fenced.groupBy("variable", target).agg(
+        F.sum("cnt").alias("n"), F.min("value").cast("double").alias("min"),
+        F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"),
+        F.first(F.col("q")[2]).alias("q3"), F.max("value").cast("double").alias("max"),
+        F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),
+        F.min(F.when(inside, F.col("value"))).cast("double").alias("whisker_lo"),
+        F.max(F.when(inside, F.col("value"))).cast("double").alias("whisker_hi"),
+        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_outliers")))
 
 
 def outlier_rows(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS, target: str = S.TARGET) -> DataFrame:

@@ -164,7 +164,8 @@ def _crosstab_sql(dims, src="c") -> str:
     f"c AS (SELECT *, {AGE_CAT_RIGHT_SQL} AS age_cat FROM campaign)"))
 def _crosstab_rate(spark, sf):
     df = campaign(spark, sf).withColumn("age_cat", X.age_category(right=True))
-    return stats.crosstab_rate(df, S.CROSSTAB_DIMENSIONS)
+    # age bins are a categorical in the source: an empty bin is listed with count 0
+    return stats.crosstab_rate(df, S.CROSSTAB_DIMENSIONS, levels={"age_cat": S.AGE_LABELS})
 
 
 @register("category_order", with_campaign(

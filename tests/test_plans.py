@@ -21,6 +21,7 @@ def test_no_python_udf_and_no_global_window(spark, key):
 
 
 @pytest.mark.parametrize("key", ["crosstab_rate", "categorical_distribution", "correlation_matrix",
+                                 "box_summary", "profile_describe", "numeric_histogram",
                                  "profile_missing", "monthly_campaign"])
 def test_single_scan(spark, key):
     plan = _plan(E.queries()[key](spark, SF001))
@@ -32,3 +33,9 @@ def test_column_pruning_reaches_scan(spark):
     plan = _plan(df)
     scan = [ln for ln in plan.splitlines() if "ReadSchema" in ln][0]
     assert "balance" in scan and "job" not in scan
+
+
+def test_filter_reaches_scan(spark):
+    plan = _plan(E.queries()["filter_eq"](spark, SF001))
+    scan = [ln for ln in plan.splitlines() if "PushedFilters" in ln][0]
+    assert "EqualTo(deposit,yes)" in scan
