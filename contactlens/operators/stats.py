@@ -4,7 +4,8 @@ Every report is one scan: multi-column reports ``unpivot`` first (an Expand,
 no shuffle) and aggregate once with partial (map-side) aggregation, so the
 shuffle carries one row per (variable, value) per task. Quantiles go through
 value counts (``contactlens.functions.quantiles``). Shares use a scalar
-subquery over the aggregated rows, never an un-partitioned window.
+one more aggregate over the already aggregated rows, never an
+un-partitioned window over raw rows.
 """
 
 from __future__ import annotations
@@ -71,8 +72,11 @@ def pdays_implies_no_previous(df: DataFrame) -> DataFrame:
 def target_distribution(df: DataFrame, target: str = S.TARGET) -> DataFrame:
     """Count and share of each target value (the pie)."""
     counts = df.groupBy(X.col(target).alias(target)).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.select(F.sum("count")).scalar()
-    return counts.withColumn("share", F.col("count") / total)
+    # one row per target value: gather them with their total, then spread out again
+    cells = counts.agg(F.collect_list(F.struct(target, "count")).alias("cells"), F.sum("count").alias("total"))
+    return (cells.select(F.explode("cells").alias("c"), "total")
+            .select(F.col(f"c.{target}").alias(target), F.col("c.count").alias("count"),
+                    (F.col("c.count") / F.col("total")).alias("share")))
 
 
 def categorical_distribution(df: DataFrame, columns: Sequence[str] = S.CATEGORICAL_COLUMNS) -> DataFrame:
@@ -180,10 +184,21 @@ def category_order(df: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def count_by_month_target(df: DataFrame, target: str = S.TARGET) -> DataFrame:
-    """Count per (month, target) with the month's frequency rank for display order."""
-    counts = count_by(df, "month", target)
-    order = category_order(df, ["month"]).select(F.col("value").alias("month"), F.col("rank").alias("month_rank"))
-    return counts.join(F.broadcast(order), "month", "left")
+    """Count per (month, target) with the month's frequency rank for display order.
+
+    One scan: the (month, target) counts carry their month total (a window
+    partitioned by month over aggregated rows); the rank comes from sorting
+    the at most 12 (total, month) pairs gathered in one more aggregate.
+    """
+    counts = (count_by(df, "month", target)
+              .withColumn("mt", F.sum("count").over(Window.partitionBy("month"))))
+    key = F.struct((-F.col("mt")).alias("neg_total"), F.col("month").alias("month"))
+    g = counts.agg(F.collect_list(F.struct("month", target, "count", key.alias("k"))).alias("cells"),
+                   F.array_sort(F.collect_set(key)).alias("order"))
+    c = F.col("c")
+    return (g.select(F.explode("cells").alias("c"), "order")
+            .select(c["month"].alias("month"), c[target].alias(target), c["count"].alias("count"),
+                    F.array_position("order", c["k"]).cast("int").alias("month_rank")))
 
 
 def monthly_campaign(df: DataFrame, target: str = S.TARGET) -> DataFrame:

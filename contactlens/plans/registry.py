@@ -650,7 +650,9 @@ def _compare_sql() -> str:
 
 @register("compare_models", _compare_sql())
 def _compare_models(spark, sf):
-    return EV.compare_models({r: EV.binary_metrics(_rule_pred(spark, sf, r)) for r in RULES})
+    df = FE.train_test_split(campaign(spark, sf)).where(F.col("is_test"))
+    preds = EV.rules_predictions(df, {r: F.expr(e) for r, e in RULES.items()}, F.col("deposit") == "yes")
+    return EV.compare_models(EV.binary_metrics(preds, by=["model"]))
 
 
 # =====================================================================================

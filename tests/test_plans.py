@@ -22,6 +22,7 @@ def test_no_python_udf_and_no_global_window(spark, key):
 
 @pytest.mark.parametrize("key", ["crosstab_rate", "categorical_distribution", "correlation_matrix",
                                  "box_summary", "profile_describe", "numeric_histogram",
+                                 "target_distribution", "compare_models", "count_by_month_target",
                                  "profile_missing", "monthly_campaign"])
 def test_single_scan(spark, key):
     plan = _plan(E.queries()[key](spark, SF001))
