@@ -149,4 +149,4 @@ def _key(sf_dir: str) -> str:
 def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived contact table, built once per input and read back from Parquet."""
     key = _key(sf_dir)
-    return materialize(spark, campaign_from_tables(spark, sf_dir, key=key), "campaign", key)
+    return materialize(spark, lambda: campaign_from_tables(spark, sf_dir, key=key), "campaign", key)

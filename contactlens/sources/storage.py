@@ -11,6 +11,7 @@ import hashlib
 import os
 import tempfile
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,12 @@ def fingerprint(*parts: object) -> str:
     return h.hexdigest()[:16]
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame | Callable[[], DataFrame], name: str,
+                key: str) -> DataFrame:
     """Write ``df`` once as Parquet under the scratch folder and read it back.
 
+    ``df`` may be a builder, called only when the table is not written yet.
+
     The written table cuts the lineage (a lost executor recomputes from the
     files, not from the sources) and gives later queries column pruning and
     filter pushdown. A ``_done`` marker table is written after the data, so a
@@ -61,7 +65,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, key: str) -> Data
     with _LOCK:
         if memo_key not in _MEMO:
             if not _exists(spark, f"{base}/_done"):
-                df.write.mode("overwrite").parquet(f"{base}/data")
+                (df() if callable(df) else df).write.mode("overwrite").parquet(f"{base}/data")
                 spark.range(1).write.mode("overwrite").parquet(f"{base}/_done")
             _MEMO[memo_key] = f"{base}/data"
     return spark.read.parquet(_MEMO[memo_key])
