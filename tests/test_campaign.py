@@ -38,7 +38,7 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [(30, "admin.", "married", "secondary", "no", 100, "yes", "no", "cellular", 5, "may", 261, 1, -1, 0,
              "unknown", "no")]
     df = spark.createDataFrame(rows, S.CAMPAIGN_FILE_SCHEMA)
-    path = str(tmp_path / "bank.csv")
+    path = str(tmp_path / "contacts.csv")
     df.coalesce(1).write.option("header", True).csv(path)
     back = load_campaign(spark, path, "csv")
     assert back.columns == ["row_id", *S.CAMPAIGN_COLUMNS]
