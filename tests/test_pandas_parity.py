@@ -1,0 +1,110 @@
+"""The Spark operators against the same computation done with pandas / numpy
+(the source application's engine) on the sf0.01 contact table."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from contactlens.functions import expressions as X
+from contactlens.operators import features as FE
+from contactlens.operators import profile as P
+from contactlens.operators import stats
+from contactlens.plans.preprocess import preprocess_and_transform
+from contactlens.sources import schema as S
+from contactlens.sources.campaign import campaign
+
+
+@pytest.fixture(scope="module")
+def sdf(spark):
+    return campaign(spark, SF001)
+
+
+@pytest.fixture(scope="module")
+def pdf(sdf):
+    return sdf.toPandas().set_index("row_id").sort_index()
+
+
+def test_describe(sdf, pdf):
+    want = pdf[S.DESCRIBE_COLUMNS].describe()
+    got = {r["variable"]: r for r in P.profile_describe(sdf, std_digits=None).collect()}
+    for c in S.DESCRIBE_COLUMNS:
+        g, w = got[c], want[c]
+        assert g["count"] == w["count"]
+        assert g["mean"] == pytest.approx(w["mean"], rel=1e-12)
+        assert g["std"] == pytest.approx(w["std"], rel=1e-10)
+        assert (g["min"], g["p25"], g["p50"], g["p75"], g["max"]) == (w["min"], w["25%"], w["50%"], w["75%"], w["max"])
+
+
+@pytest.mark.parametrize("right,top", [(False, np.inf), (True, 96)])
+def test_age_bins(sdf, pdf, right, top):
+    want = pd.cut(pdf["age"], bins=[*S.AGE_EDGES, top], labels=S.AGE_LABELS, right=right)
+    got = sdf.select("row_id", X.age_category("age", right=right).alias("c")).toPandas().set_index("row_id").sort_index()
+    assert list(got["c"].where(got["c"].notna(), None)) == list(want.astype(object).where(want.notna(), None))
+
+
+def test_crosstab_job(sdf, pdf):
+    counts = pdf.groupby(["job", "deposit"]).size().unstack()
+    total = counts.sum(axis=1)
+    pct = {v: (counts[v] / total * 100).round(2) for v in ("yes", "no")}
+    got = stats.crosstab_rate(sdf, ["job"]).collect()
+    for r in got:
+        assert r["count"] == counts.loc[r["value"], r["deposit"]]
+        assert r["percent"] == pct[r["deposit"]][r["value"]]
+
+
+def test_duplicates_subset(sdf, pdf):
+    cols = ["job", "marital", "education", "housing", "loan", "deposit"]
+    want = sorted(pdf[pdf[cols].duplicated()].index)
+    got = sorted(r["row_id"] for r in P.profile_duplicates(sdf.select("row_id", *cols)).collect())
+    assert got == want
+
+
+def test_median_duration(sdf, pdf):
+    minutes = round(pdf["duration"] / 60.0, 2)
+    r = stats.median_duration_by_target(sdf).first()
+    assert r["median_all"] == minutes.median()
+    assert r["median_yes"] == minutes[pdf["deposit"] == "yes"].median()
+    assert r["median_no"] == minutes[pdf["deposit"] == "no"].median()
+
+
+def test_mean_balance(sdf, pdf):
+    r = stats.mean_by_target(sdf, "balance").first()
+    assert r["mean_all"] == pytest.approx(pdf["balance"].mean(), rel=1e-13)
+    assert r["mean_yes"] == pytest.approx(pdf.loc[pdf.deposit == "yes", "balance"].mean(), rel=1e-13)
+
+
+def test_correlation(sdf, pdf):
+    d = pdf.assign(deposit_num=(pdf["deposit"] == "yes").astype(int))[S.CORRELATION_COLUMNS].corr()
+    for r in stats.correlation_matrix(sdf, digits=None).collect():
+        assert r["corr"] == pytest.approx(d.loc[r["var_x"], r["var_y"]], abs=1e-12)
+
+
+def test_month_map_and_cyclic(sdf, pdf):
+    months = {m: i + 1 for i, m in enumerate(S.MONTHS)}
+    want_m = pdf["month"].map(months)
+    got = (sdf.select("row_id", X.map_month("month").alias("m"), *FE.encode_cyclic("day", 31))
+           .toPandas().set_index("row_id").sort_index())
+    assert list(got["m"]) == list(want_m)
+    assert np.array_equal(got["day_sin"].to_numpy(), np.sin(2 * np.pi * pdf["day"] / 31).to_numpy())
+    assert np.array_equal(got["day_cos"].to_numpy(), np.cos(2 * np.pi * pdf["day"] / 31).to_numpy())
+
+
+def test_robust_scaling_on_train(spark, sdf, pdf):
+    enc_df, enc = preprocess_and_transform(sdf)
+    split = FE.train_test_split(sdf).select("row_id", "is_test").toPandas().set_index("row_id").sort_index()
+    train = pdf[~split["is_test"]]
+    for c in ["balance", "campaign", "duration", "previous"]:
+        q25, q50, q75 = np.percentile(train[c], [25, 50, 75])
+        assert enc.numeric[c] == (q50, q75 - q25)
+    got = enc_df.select("row_id", "balance").toPandas().set_index("row_id").sort_index()["balance"]
+    q25, q50, q75 = np.percentile(train["balance"], [25, 50, 75])
+    assert np.array_equal(got.to_numpy(), ((pdf["balance"] - q50) / (q75 - q25)).to_numpy())
+
+
+def test_education_mode_from_train(spark, sdf, pdf):
+    _, enc = preprocess_and_transform(sdf)
+    split = FE.train_test_split(sdf).select("row_id", "is_test").toPandas().set_index("row_id").sort_index()
+    train = pdf[~split["is_test"]]
+    assert enc.education_mode == train.loc[train.education != "unknown", "education"].mode()[0]
