@@ -1,0 +1,35 @@
+"""Fitted state and quantile helpers."""
+
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from contactlens.functions.quantiles import grouped_quantiles
+from contactlens.operators import features as FE
+from contactlens.plans.preprocess import preprocess, preprocess_and_transform
+from contactlens.sources.campaign import campaign
+
+
+def test_grouped_quantiles_exact_and_approx(spark, rows):
+    df = rows([(g, v) for g in ("a", "b") for v in range(1, 101)], "g string, v int")
+    exact = {r["g"]: (r["q25"], r["q50"], r["q75"]) for r in grouped_quantiles(df, "v", [0.25, 0.5, 0.75], ["g"]).collect()}
+    assert exact == {"a": (25.75, 50.5, 75.25), "b": (25.75, 50.5, 75.25)}
+    approx = {r["g"]: r["q50"] for r in grouped_quantiles(df, "v", [0.5], ["g"], exact=False).collect()}
+    assert approx == {"a": 50.0, "b": 50.0}
+
+
+def test_encoding_json_round_trip_applies_identically(spark):
+    src = campaign(spark, SF001)
+    encoded, enc = preprocess_and_transform(src)
+    again = FE.Encoding.from_json(enc.to_json())
+    assert again == enc
+    re_applied = FE.apply_encoding(preprocess(src), again)
+    assert re_applied.exceptAll(encoded).count() == 0
+
+
+def test_new_rows_with_unseen_category(spark):
+    src = campaign(spark, SF001)
+    _, enc = preprocess_and_transform(src)
+    new = preprocess(src.limit(5).withColumn("job", F.lit("astronaut")))
+    out = FE.apply_encoding(new, enc)
+    job_cols = [c for c in out.columns if c.startswith("job_")]
+    assert out.select(sum(F.col(c) for c in job_cols).alias("s")).distinct().collect()[0]["s"] == 0.0
