@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from contactlens.sources import schema as S
 from contactlens.sources.storage import fingerprint, materialize
 
-_VERSION = "campaign-v2"
+_VERSION = "campaign-v3"
 
 
 def load_campaign(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:

@@ -11,11 +11,12 @@ import hashlib
 import os
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _MEMO: dict[tuple[int, str], str] = {}
 
 
@@ -54,20 +55,23 @@ def materialize(spark: SparkSession, df: DataFrame | Callable[[], DataFrame], na
     """Write ``df`` once as Parquet under the scratch folder and read it back.
 
     ``df`` may be a builder, called only when the table is not written yet.
-
     The written table cuts the lineage (a lost executor recomputes from the
     files, not from the sources) and gives later queries column pruning and
-    filter pushdown. A ``_done`` marker table is written after the data, so a
-    half-written table is never read.
+    filter pushdown. Each build writes its own folder and then publishes it
+    in a one-row ``_done`` marker table; readers follow the marker, so a
+    half-written or concurrently written table is never read.
     """
     base = f"{scratch_dir(spark)}/contactlens/{name}-{key}"
     memo_key = (id(spark), base)
     with _LOCK:
         if memo_key not in _MEMO:
-            if not _exists(spark, f"{base}/_done"):
-                (df() if callable(df) else df).write.mode("overwrite").parquet(f"{base}/data")
-                spark.range(1).write.mode("overwrite").parquet(f"{base}/_done")
-            _MEMO[memo_key] = f"{base}/data"
+            marker = f"{base}/_done"
+            if not _exists(spark, marker):
+                data = f"{base}/data-{uuid.uuid4().hex[:12]}"
+                (df() if callable(df) else df).write.mode("errorifexists").parquet(data)
+                spark.createDataFrame([(data,)], "path string").coalesce(1) \
+                    .write.mode("overwrite").parquet(marker)
+            _MEMO[memo_key] = spark.read.parquet(marker).first()["path"]
     return spark.read.parquet(_MEMO[memo_key])
 
 

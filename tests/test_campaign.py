@@ -55,3 +55,16 @@ def test_csv_round_trip_full_table(spark, tmp_path):
     assert back.schema == spark.createDataFrame([], S.CAMPAIGN_FILE_SCHEMA).schema
     assert back.exceptAll(src.drop("row_id")).count() == 0
     assert src.drop("row_id").exceptAll(back).count() == 0
+
+
+def test_fresh_build_through_nested_materialize(spark):
+    """The table builder writes its own intermediate table from inside the outer build."""
+    import uuid
+
+    from conftest import SF0001
+    from contactlens.sources.campaign import campaign_from_tables
+    key = f"test-{uuid.uuid4().hex[:8]}"
+    built = materialize(spark, lambda: campaign_from_tables(spark, SF0001, key=key), "campaign-test", key)
+    assert built.count() == spark.read.parquet(f"{SF0001}/orders.parquet").count()
+    again = materialize(spark, lambda: 1 / 0, "campaign-test", key)  # published: builder not called
+    assert again.count() == built.count()
