@@ -93,6 +93,7 @@ class Options:
     bin_age: bool = True
     scaler: str = "robust"          # or "standard"
     mode_excludes_unknown: bool = True
+    exact_quantiles: bool = True    # False: percentile_approx sketches for the robust scaler
 
 
 PRESETS = {
@@ -149,9 +150,14 @@ def fit_encoding(train: DataFrame, options: Options | None = None,
     num = (train.select(*[X.col(c).cast("double").alias(c) for c in g["numeric"]])
            .unpivot([], g["numeric"], "variable", "value").where(F.col("value").isNotNull()))
     if o.scaler == "robust":
-        q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt"))
-        stats = (num.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
-                 .groupBy("variable").agg(q.alias("q"))
+        if o.exact_quantiles:
+            q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt"))
+            qtab = (num.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
+                    .groupBy("variable").agg(q.alias("q")))
+        else:
+            qtab = num.groupBy("variable").agg(
+                F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).cast("array<double>").alias("q"))
+        stats = (qtab
                  .select("variable", F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("n"),
                          F.col("q")[0].alias("a"), F.col("q")[1].alias("b"), F.col("q")[2].alias("c")))
     else:

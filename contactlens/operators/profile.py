@@ -30,16 +30,27 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 
 def profile_describe(df: DataFrame, columns: Sequence[str] = S.DESCRIBE_COLUMNS,
-                     std_digits: int | None = 6) -> DataFrame:
+                     std_digits: int | None = 6, exact: bool = True,
+                     accuracy: int = 10000) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75% (linear), max per numeric column.
 
     Built on the (variable, value) count table: exact quantiles without
     holding raw rows, and a centred variance over the distinct values. One
-    scan of the input.
+    scan of the input. ``exact=False`` (for continuous columns with very many
+    distinct values) uses fixed-size sketches instead: ``percentile_approx``,
+    ``stddev_samp`` and ``avg`` straight over the rows.
     """
     long = (df.select(*[X.col(c).cast("double").alias(c) for c in columns])
             .unpivot([], list(columns), "variable", "value")
             .where(F.col("value").isNotNull()))
+    if not exact:
+        approx = long.groupBy("variable").agg(
+            F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("q"),
+            F.max("value").alias("max"))
+        std = F.round("std", std_digits) if std_digits is not None else F.col("std")
+        return approx.select("variable", "count", "mean", std.alias("std"), "min",
+                             F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
     vc = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
     # the mean rides along as a window aggregate over the value-count rows of
     # the same variable, so the centred variance needs no second pass

@@ -40,8 +40,16 @@ def mean_by_target(df: DataFrame, column: str, target: str = S.TARGET) -> DataFr
     )
 
 
-def median_by_target(df: DataFrame, value, target: str = S.TARGET) -> DataFrame:
-    """Exact medians (all / yes / no) from the (target, value) count table."""
+def median_by_target(df: DataFrame, value, target: str = S.TARGET, exact: bool = True,
+                     accuracy: int = 10000) -> DataFrame:
+    """Medians (all / yes / no): exact from the (target, value) count table, or sketches."""
+    if not exact:
+        v = F.col(value) if isinstance(value, str) else value
+        t = X.col(target)
+        return df.agg(
+            F.percentile_approx(v, 0.5, accuracy).cast("double").alias("median_all"),
+            F.percentile_approx(F.when(t == S.POSITIVE, v), 0.5, accuracy).cast("double").alias("median_yes"),
+            F.percentile_approx(F.when(t == S.NEGATIVE, v), 0.5, accuracy).cast("double").alias("median_no"))
     vc = value_counts(df, value, [target])
     t = F.col(target)
     med = lambda v: F.percentile(v, F.lit(0.5), F.col("cnt")).cast("double")
@@ -52,8 +60,8 @@ def median_by_target(df: DataFrame, value, target: str = S.TARGET) -> DataFrame:
     )
 
 
-def median_duration_by_target(df: DataFrame, target: str = S.TARGET) -> DataFrame:
-    return median_by_target(df, X.duration_minutes("duration"), target)
+def median_duration_by_target(df: DataFrame, target: str = S.TARGET, exact: bool = True) -> DataFrame:
+    return median_by_target(df, X.duration_minutes("duration"), target, exact)
 
 
 def check_implication(df: DataFrame, premise, conclusion) -> DataFrame:
@@ -223,7 +231,7 @@ def _box_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
 
 
 def box_summary(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS,
-                target: str = S.TARGET) -> DataFrame:
+                target: str = S.TARGET, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Five-number summary, 1.5 IQR fences, whiskers and outlier count per (variable, target).
 
     One scan: the rows become a (variable, target, value) count table; the
@@ -231,12 +239,20 @@ def box_summary(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS,
     (variable, target), so every count row sees its group's fences, and one
     grouped aggregate finishes whiskers and outlier counts. No step holds
     more than the distinct values of one column for one target value.
+    ``exact=False`` takes the quartiles from ``percentile_approx`` sketches
+    over the rows (one row per (variable, target), joined back by broadcast).
     """
-    vc = (_box_long(df, columns, target).groupBy("variable", target, "value")
-          .agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("variable", target)
-    q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt")).over(w)
-    fenced = (vc.withColumn("q", q)
+    long = _box_long(df, columns, target)
+    vc = long.groupBy("variable", target, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    if exact:
+        w = Window.partitionBy("variable", target)
+        q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt")).over(w)
+        vcq = vc.withColumn("q", q)
+    else:
+        qs = long.groupBy("variable", target).agg(
+            F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias("q"))
+        vcq = vc.join(F.broadcast(qs), ["variable", target])
+    fenced = (vcq
               .withColumn("lower_fence", F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]))
               .withColumn("upper_fence", F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])))
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))

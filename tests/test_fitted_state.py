@@ -33,3 +33,31 @@ def test_new_rows_with_unseen_category(spark):
     out = FE.apply_encoding(new, enc)
     job_cols = [c for c in out.columns if c.startswith("job_")]
     assert out.select(sum(F.col(c) for c in job_cols).alias("s")).distinct().collect()[0]["s"] == 0.0
+
+
+def test_sketch_paths_close_to_exact(spark):
+    from contactlens.operators import profile as P
+    from contactlens.operators import stats
+    src = campaign(spark, SF001)
+    ex = {r["variable"]: r for r in P.profile_describe(src).collect()}
+    ap = {r["variable"]: r for r in P.profile_describe(src, exact=False).collect()}
+    for v, r in ex.items():
+        iqr = max(r["p75"] - r["p25"], 1.0)
+        assert ap[v]["count"] == r["count"] and ap[v]["min"] == r["min"] and ap[v]["max"] == r["max"]
+        assert abs(ap[v]["mean"] - r["mean"]) < 1e-9 * max(1.0, abs(r["mean"]))
+        for q in ("p25", "p50", "p75"):
+            assert abs(ap[v][q] - r[q]) <= 0.02 * iqr
+    bx = {(r["variable"], r["deposit"]): r for r in stats.box_summary(src).collect()}
+    ba = {(r["variable"], r["deposit"]): r for r in stats.box_summary(src, exact=False).collect()}
+    assert bx.keys() == ba.keys()
+    for k, r in bx.items():
+        assert abs(ba[k]["median"] - r["median"]) <= 0.02 * max(r["q3"] - r["q1"], 1.0)
+    me = stats.median_duration_by_target(src).first()
+    ma = stats.median_duration_by_target(src, exact=False).first()
+    assert abs(me["median_all"] - ma["median_all"]) < 0.5
+    o = FE.Options(exact_quantiles=False)
+    _, enc = preprocess_and_transform(src, o)
+    _, enc_exact = preprocess_and_transform(src)
+    for c, (center, spread) in enc.numeric.items():
+        ce, se = enc_exact.numeric[c]
+        assert abs(center - ce) <= 0.02 * max(se, 1.0)
