@@ -30,14 +30,20 @@ def _long(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (),
 
 # -- conditional aggregates -------------------------------------------------
 
+def with_rounded(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
+    """Adds ``<c>_rounded`` (pandas half-even rounding, as the values are displayed)."""
+    return df.select("*", *[X.round_half_even(c, digits).alias(f"{c}_rounded") for c in columns])
+
+
 def mean_by_target(df: DataFrame, column: str, target: str = S.TARGET) -> DataFrame:
-    """Mean of ``column`` over all rows, the positive rows and the negative rows."""
+    """Mean of ``column`` over all rows, the positive rows and the negative rows (+ rounded)."""
     t, x = X.col(target), X.col(column)
-    return df.agg(
+    out = df.agg(
         F.avg(x).alias("mean_all"),
         F.avg(F.when(t == S.POSITIVE, x)).alias("mean_yes"),
         F.avg(F.when(t == S.NEGATIVE, x)).alias("mean_no"),
     )
+    return with_rounded(out, ["mean_all", "mean_yes", "mean_no"])
 
 
 def median_by_target(df: DataFrame, value, target: str = S.TARGET, exact: bool = True,
@@ -61,7 +67,8 @@ def median_by_target(df: DataFrame, value, target: str = S.TARGET, exact: bool =
 
 
 def median_duration_by_target(df: DataFrame, target: str = S.TARGET, exact: bool = True) -> DataFrame:
-    return median_by_target(df, X.duration_minutes("duration"), target, exact)
+    out = median_by_target(df, X.duration_minutes("duration"), target, exact)
+    return with_rounded(out, ["median_all", "median_yes", "median_no"])
 
 
 def check_implication(df: DataFrame, premise, conclusion) -> DataFrame:

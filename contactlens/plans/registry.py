@@ -61,10 +61,15 @@ def _load_campaign(spark, sf):
 
 # -- 2.4 aggregations --------------------------------------------------------------
 
+def _rounded_sql(cols) -> str:
+    return ", ".join(f"round_even({c} * 100e0, 0) / 100e0 AS {c}_rounded" for c in cols)
+
+
 def _mean_sql(c: str) -> str:
     return with_campaign(
+        f"SELECT *, {_rounded_sql(['mean_all', 'mean_yes', 'mean_no'])} FROM ("
         f"SELECT AVG({c}) AS mean_all, AVG(CASE WHEN deposit = 'yes' THEN {c} END) AS mean_yes, "
-        f"AVG(CASE WHEN deposit = 'no' THEN {c} END) AS mean_no FROM campaign")
+        f"AVG(CASE WHEN deposit = 'no' THEN {c} END) AS mean_no FROM campaign)")
 
 
 @register("mean_balance_by_target", _mean_sql("balance"))
@@ -78,9 +83,10 @@ def _mean_previous(spark, sf):
 
 
 @register("median_duration_by_target", with_campaign(
+    f"SELECT *, {_rounded_sql(['median_all', 'median_yes', 'median_no'])} FROM ("
     "SELECT CAST(MEDIAN(m) AS DOUBLE) AS median_all, CAST(MEDIAN(CASE WHEN deposit = 'yes' THEN m END) AS DOUBLE) AS median_yes, "
     "CAST(MEDIAN(CASE WHEN deposit = 'no' THEN m END) AS DOUBLE) AS median_no "
-    "FROM (SELECT deposit, round_even(CAST(duration AS DOUBLE) / 60e0 * 100e0, 0) / 100e0 AS m FROM campaign)"))
+    "FROM (SELECT deposit, round_even(CAST(duration AS DOUBLE) / 60e0 * 100e0, 0) / 100e0 AS m FROM campaign))"))
 def _median_duration(spark, sf):
     return stats.median_duration_by_target(campaign(spark, sf))
 

@@ -73,6 +73,8 @@ def test_mean_balance(sdf, pdf):
     r = stats.mean_by_target(sdf, "balance").first()
     assert r["mean_all"] == pytest.approx(pdf["balance"].mean(), rel=1e-13)
     assert r["mean_yes"] == pytest.approx(pdf.loc[pdf.deposit == "yes", "balance"].mean(), rel=1e-13)
+    assert r["mean_all_rounded"] == round(pdf["balance"].mean(), 2)
+    assert r["mean_no_rounded"] == round(pdf.loc[pdf.deposit == "no", "balance"].mean(), 2)
 
 
 def test_correlation(sdf, pdf):
