@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -80,22 +81,44 @@ def profile_missing(df: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def profile_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def profile_duplicates(df: DataFrame, columns: Sequence[str] | None = None,
+                       max_hot_groups: int = 2048) -> DataFrame:
     """Rows equal (NULL-safe) on ``columns`` to a row with a smaller row id.
 
-    The first occurrence of every group comes from a partially aggregated
-    ``groupBy`` (a group holding a third of the table is pre-reduced on the
-    map side); the rows then meet their group on the key columns. A hot key
-    only skews that join's probe side, which adaptive execution splits
-    (``spark.sql.adaptive.skewJoin``), while the build side holds one row
-    per group.
+    1. Groups of copies are counted with a partially aggregated ``groupBy``
+       (a group holding a third of the table is reduced map-side), keeping
+       each group's first row id and size.
+    2. With ``T`` = rows / ``max_hot_groups``, a group
+       larger than ``T`` is hot; there are at most ``max_hot_groups`` of
+       them, so that table is broadcast. A hot group is split ``ceil(n/T)``
+       ways: its rows get a salt from their row id, and its single group row
+       is repeated once per salt (at most ``2 * max_hot_groups`` extra rows
+       in all).
+    3. Rows meet their group on (columns, salt) in one shuffle join; no task
+       receives more than about ``T`` rows of any one group.
+
+    Cost: the input is read three times (the group count for the hot list,
+    the group count for the join, the rows), in exchange for a split that
+    does not depend on run-time skew detection.
     """
     cols = list(columns or business_columns(df))
-    firsts = df.groupBy(*[X.col(c).alias(c) for c in cols]).agg(F.min(ID).alias("_first"))
-    a, b = df.alias("a"), firsts.alias("b")
-    cond = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in cols]
-    return (a.join(b, cond).where(F.col(f"a.{ID}") != F.col("b._first"))
-            .select(*[F.col(f"a.`{c}`").alias(c) for c in [ID] + [c for c in cols if c != ID]]))
+    keys = [X.col(c).alias(c) for c in cols]
+    # T from the row count (Parquet answers it from file footers), used as a literal
+    per_task = max(math.ceil(df.count() / max_hot_groups), 1)
+    groups = (df.groupBy(*keys).agg(F.min(ID).alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .where(F.col("_n") > 1)
+              .withColumn("_splits", F.when(F.col("_n") > per_task, F.ceil(F.col("_n") / per_task))
+                          .otherwise(F.lit(1)).cast("int")))
+    hot = groups.where(F.col("_splits") > 1).select(*[F.col(f"`{c}`").alias(f"_h{i}") for i, c in enumerate(cols)],
+                                                    "_splits")
+    build = groups.select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(cols)], "_first",
+                          F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)).alias("_gsalt"))
+    tag = [X.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(cols)]
+    probe = (df.join(F.broadcast(hot), tag, "left")
+             .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(ID), F.col("_splits")), F.lit(0)).cast("int")))
+    cond = [X.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(cols)] + [F.col("_salt") == F.col("_gsalt")]
+    return (probe.join(build, cond).where(F.col(ID) != F.col("_first"))
+            .select(ID, *[X.col(c) for c in cols if c != ID]))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

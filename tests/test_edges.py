@@ -138,3 +138,23 @@ def test_format_percent(spark, rows):
 def test_filter_ne_keeps_null(spark, rows):
     df = rows([("unknown",), (None,), ("primary",)], "education string")
     assert T.filter_ne(df, "education", "unknown").count() == 2
+
+
+def test_duplicates_with_hot_group_of_copies(spark, rows):
+    """A third of the rows are one group of copies; the split join gives the brute-force answer."""
+    import random
+
+    from pyspark.sql import Window
+    rnd = random.Random(3)
+    data = []
+    for i in range(3000):
+        if i % 3 == 0:
+            data.append((i, "hot", 1, None))
+        else:
+            data.append((i, rnd.choice("abcde"), rnd.randint(0, 30), rnd.choice([None, "x", "y"])))
+    df = rows(data, "row_id long, a string, b int, c string")
+    got = P.profile_duplicates(df, ["a", "b", "c"], max_hot_groups=16)
+    w = Window.partitionBy("a", "b", "c").orderBy("row_id")
+    want = df.withColumn("rn", F.row_number().over(w)).where("rn > 1").drop("rn")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.where("a = 'hot'").count() == 999
