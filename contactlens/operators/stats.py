@@ -169,7 +169,6 @@ def crosstab_rate(df: DataFrame, dims: Sequence[str], target: str = S.TARGET,
     categories of a binned dimension so empty bins appear with count 0 and
     NULL percent. Rows whose dimension value is NULL are left out.
     """
-    t = X.col(target)
     long = _long(df, dims, ids=[target], cast="string").where(F.col("value").isNotNull())
     counts = long.groupBy("variable", "value").agg(
         *[F.count_if(F.col(target) == F.lit(v)).alias(f"n{i}") for i, v in enumerate(values)])
@@ -179,7 +178,6 @@ def crosstab_rate(df: DataFrame, dims: Sequence[str], target: str = S.TARGET,
                                              "variable string, value string")
         counts = (counts.join(lv, ["variable", "value"], "full_outer")
                   .fillna(0, [f"n{i}" for i in range(len(values))]))
-    del t
     total = sum((F.col(f"n{i}") for i in range(1, len(values))), F.col("n0"))
     cells = F.array(*[F.struct(F.lit(v).alias(target), F.col(f"n{i}").alias("count"))
                       for i, v in enumerate(values)])

@@ -233,8 +233,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.crosstab_rate(campaign(spark, sf_dir), ["poutcome"])
 
 
-_ = F  # re-exported helpers keep the import used
-
 
 # =====================================================================================
 # 2.2 profile
@@ -269,9 +267,6 @@ def _profile_describe(spark, sf):
     return P.profile_describe(campaign(spark, sf))
 
 
-_TYPE_NAMES = {"IntegerType()": "int", "StringType()": "string", "LongType()": "bigint"}
-
-
 @register("profile_missing", with_campaign(_union_sql(
     list(enumerate(BUSINESS)),
     lambda ic: (f"SELECT {ic[0]} AS position, '{ic[1]}' AS column, "
