@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contactlens.operators.joins import hot_key_join
 from contactlens.sources import schema as S
 from contactlens.sources.storage import fingerprint, materialize
 
@@ -107,8 +108,10 @@ def campaign_from_tables(spark: SparkSession, sf_dir: str, n_parts: int | None =
 
     o = _customer_sequence(orders, n_parts,
                            lambda df: materialize(spark, df, "orders-chunked", f"{key}-{n_parts}"))
-    b = (o.join(customer, o.o_custkey == customer.c_custkey)
-         .join(lines, o.o_orderkey == lines.l_orderkey, "left"))
+    # a customer with a large share of the orders is split over several join tasks
+    b = (hot_key_join(o, customer, "o_custkey", "c_custkey", salt_from="o_orderkey",
+                      counts_from=orders.select("o_custkey"))
+         .join(lines, F.col("o_orderkey") == lines.l_orderkey, "left"))
 
     ck, nk = F.col("c_custkey"), F.col("c_nationkey")
     months = F.array(*[F.lit(m) for m in S.MONTHS])

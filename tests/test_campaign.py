@@ -87,3 +87,15 @@ def test_many_chunks_match_duckdb(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     want = con.execute(with_campaign("SELECT row_id, pdays, previous, poutcome FROM campaign ORDER BY row_id")).fetchdf()
     assert got.reset_index(drop=True).astype(object).equals(want.astype(object))
+
+
+def test_hot_key_join_matches_plain_join(spark):
+    from contactlens.operators.joins import hot_key_join
+    orders = _orders(spark, n=3000, hot_share=1 / 3)
+    cust = spark.range(0, 130).select(F.col("id").alias("c_custkey"), (F.col("id") * 7).alias("attr"))
+    got = hot_key_join(orders, cust, "o_custkey", "c_custkey", "o_orderkey", max_hot_keys=16)
+    want = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    cols = ["o_orderkey", "o_custkey", "c_custkey", "attr"]
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0
+    assert want.select(cols).exceptAll(got.select(cols)).count() == 0
+    assert got.count() == 3000
