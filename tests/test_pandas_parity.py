@@ -110,3 +110,25 @@ def test_education_mode_from_train(spark, sdf, pdf):
     split = FE.train_test_split(sdf).select("row_id", "is_test").toPandas().set_index("row_id").sort_index()
     train = pdf[~split["is_test"]]
     assert enc.education_mode == train.loc[train.education != "unknown", "education"].mode()[0]
+
+
+def test_metrics_against_pandas(spark, sdf):
+    from contactlens.operators import evaluate as EV
+    test = FE.train_test_split(sdf).where("is_test")
+    pred = EV.rule_predictions(test, F.col("duration") > 1900, F.col("deposit") == "yes")
+    p = pred.toPandas()
+    tp = int(((p.label == 1) & (p.prediction == 1)).sum())
+    fp = int(((p.label == 0) & (p.prediction == 1)).sum())
+    fn = int(((p.label == 1) & (p.prediction == 0)).sum())
+    m = EV.binary_metrics(pred).first()
+    assert (m["tp"], m["fp"], m["fn"]) == (tp, fp, fn)
+    prec, rec = tp / (tp + fp), tp / (tp + fn)
+    assert m["precision"] == pytest.approx(prec) and m["recall"] == pytest.approx(rec)
+    assert m["f1"] == pytest.approx(2 * prec * rec / (prec + rec))
+    assert m["accuracy"] == pytest.approx((p.label == p.prediction).mean())
+    cm = pd.crosstab(p.label, p.prediction)
+    for r in EV.confusion_matrix(pred).collect():
+        assert r["count"] == cm.loc[r["actual"], r["predicted"]]
+    rep = {r["class"]: r for r in EV.classification_report(pred).collect()}
+    assert rep["1"]["precision"] == pytest.approx(prec) and rep["1"]["support"] == tp + fn
+    assert rep["accuracy"]["f1_score"] == pytest.approx(m["accuracy"])
