@@ -50,6 +50,3 @@ def test_target_share(golden):
     share = {r["deposit"]: r["share"] for r in stats.target_distribution(golden).collect()}
     assert round(share["no"], 3) == NO_SHARE and round(share["yes"], 3) == YES_SHARE
 
-
-def test_implication_holds(golden):
-    assert stats.pdays_implies_no_previous(golden.where(F.lit(True))).first()["holds"] is True
