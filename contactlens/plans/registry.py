@@ -6,6 +6,7 @@ Each query starts from the contact table derived from the warehouse tables
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -467,6 +468,20 @@ def _prepared(spark, sf, options=None):
     return PP.preprocess(campaign(spark, sf), options)
 
 
+_ENCODINGS: dict[tuple, FE.Encoding] = {}
+_ENC_LOCK = threading.RLock()
+
+
+def _encoding(spark, sf, preset: int = 2) -> FE.Encoding:
+    """The fitted state of a preset, fitted once per session and input."""
+    key = (id(spark), sf, preset)
+    with _ENC_LOCK:
+        if key not in _ENCODINGS:
+            prep = _prepared(spark, sf, FE.PRESETS[preset])
+            _ENCODINGS[key] = FE.fit_encoding(prep.where(~F.col("is_test")), FE.PRESETS[preset])
+        return _ENCODINGS[key]
+
+
 @register("train_test_split", with_campaign(f"SELECT row_id, {SPLIT_SQL} AS is_test FROM campaign"))
 def _train_test_split(spark, sf):
     return FE.train_test_split(campaign(spark, sf)).select("row_id", "is_test")
@@ -480,8 +495,7 @@ def _encode_binary(spark, sf):
 @register("encode_onehot", with_campaign(f"SELECT row_id, {', '.join(ONEHOT_SQL)} FROM p", PREP_CTE))
 def _encode_onehot(spark, sf):
     prep = _prepared(spark, sf)
-    enc = FE.fit_encoding(prep.where(~F.col("is_test")))
-    return prep.select("row_id", *FE.encode_onehot(enc.categories))
+    return prep.select("row_id", *FE.encode_onehot(_encoding(spark, sf).categories))
 
 
 @register("encode_ordinal", with_campaign(f"SELECT row_id, {EDU_SQL}, {AGECAT_ORD_SQL} FROM p, md", PREP_CTE))
@@ -500,24 +514,20 @@ def _encode_cyclic(spark, sf):
 @register("scale_robust", with_campaign(
     f"SELECT row_id, {', '.join(_robust_sql(c) for c in ROBUST_COLS)} FROM p, rq", PREP_CTE, _robust_cte()))
 def _scale_robust(spark, sf):
-    prep = _prepared(spark, sf)
-    enc = FE.fit_encoding(prep.where(~F.col("is_test")))
-    return prep.select("row_id", *[FE.scale(c, *enc.numeric[c]) for c in ROBUST_COLS])
+    enc = _encoding(spark, sf)
+    return _prepared(spark, sf).select("row_id", *[FE.scale(c, *enc.numeric[c]) for c in ROBUST_COLS])
 
 
 @register("scale_standard", with_campaign(
     f"SELECT row_id, {', '.join(_standard_sql(c) for c in ROBUST_COLS)} FROM p, sq", PREP_CTE, _standard_cte(ROBUST_COLS)))
 def _scale_standard(spark, sf):
-    prep = _prepared(spark, sf)
-    enc = FE.fit_encoding(prep.where(~F.col("is_test")), FE.PRESETS[3])
-    return prep.select("row_id", *[FE.scale(c, *enc.numeric[c]) for c in ROBUST_COLS])
+    enc = _encoding(spark, sf, 3)
+    return _prepared(spark, sf).select("row_id", *[FE.scale(c, *enc.numeric[c]) for c in ROBUST_COLS])
 
 
 @register("encode_label", with_campaign(f"SELECT row_id, {LABEL_SQL} FROM p", PREP_CTE))
 def _encode_label(spark, sf):
-    prep = _prepared(spark, sf)
-    enc = FE.fit_encoding(prep.where(~F.col("is_test")))
-    return prep.select("row_id", FE.encode_label("deposit", enc.label_classes))
+    return _prepared(spark, sf).select("row_id", FE.encode_label("deposit", _encoding(spark, sf).label_classes))
 
 
 @register("preprocess", with_campaign("SELECT * FROM p", PREP_CTE))
@@ -659,7 +669,6 @@ def _compare_models(spark, sf):
 # =====================================================================================
 # 2.1 persistence and 2.7 models (rows-only checks: trained models have no SQL form)
 # =====================================================================================
-import threading  # noqa: E402
 
 from contactlens.operators import models as M  # noqa: E402
 
