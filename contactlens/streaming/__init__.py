@@ -2,6 +2,7 @@
 
 The source application has no streaming code: its name refers to its web
 framework. A fitted model's ``score_batch`` is a plain ``transform`` and
-applies unchanged to a streaming DataFrame, but nothing here is claimed as a
-streaming feature.
+applies unchanged to a streaming DataFrame (``tests/test_models.py`` checks
+it with a Parquet file source and a memory sink), but nothing here is
+claimed as a streaming feature.
 """
