@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from contactlens.llm import chat_format, cover_tree, mixing
+from contactlens.llm import chat_format, chunk_dedup, cover_tree, license_scan, mixing, quality
 
 QUERIES = {
     "op2_cover_tree_top_k": cover_tree.query,
+    "op5_license_scan": license_scan.query,
+    "op6_importance_resampling": quality.query,
     "op7_chat_format": chat_format.query,
+    "op9_chunk_dedup": chunk_dedup.query,
     "op10_poisson_mixing": mixing.query,
 }
 ORACLE = {
