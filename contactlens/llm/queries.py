@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from contactlens.llm import chat_format, chunk_dedup, cover_tree, license_scan, mixing, quality
+from contactlens.llm import chat_format, chunk_dedup, cover_tree, license_scan, mixing, ngram_join, quality
 
 QUERIES = {
     "op2_cover_tree_top_k": cover_tree.query,
+    "op3_ngram_jaccard_join": ngram_join.query,
     "op5_license_scan": license_scan.query,
     "op6_importance_resampling": quality.query,
     "op7_chat_format": chat_format.query,
