@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from contactlens.llm import chat_format, chunk_dedup, cover_tree, license_scan, mixing, ngram_join, quality
+from contactlens.llm import (chat_format, chunk_dedup, cover_tree, embedding_dedup, lattice, license_scan, line_dedup,
+                             mixing, ngram_join, quality)
 
 QUERIES = {
+    "op1_pstable_near_dedup": embedding_dedup.query,
     "op2_cover_tree_top_k": cover_tree.query,
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op4_fuzzy_line_dedup": line_dedup.query,
     "op5_license_scan": license_scan.query,
     "op6_importance_resampling": quality.query,
     "op7_chat_format": chat_format.query,
+    "op8_lattice_samples": lattice.query,
     "op9_chunk_dedup": chunk_dedup.query,
     "op10_poisson_mixing": mixing.query,
 }
 ORACLE = {
+    "op1_pstable_near_dedup": embedding_dedup.SQL,
     "op2_cover_tree_top_k": cover_tree.SQL,
     "op7_chat_format": chat_format.SQL,
     "op10_poisson_mixing": mixing.SQL,
