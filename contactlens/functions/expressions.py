@@ -52,12 +52,6 @@ def bucketize(c: str | Column, edges: Sequence[float], labels: Sequence[str],
     return expr
 
 
-def bin_index(c: str | Column, labels: Sequence[str]) -> Column:
-    """0-based position of a bin label in ``labels`` (for ordering), NULL if absent."""
-    pos = F.array_position(F.array(*[F.lit(v) for v in labels]), col(c))
-    return F.when(pos > 0, pos - 1)
-
-
 def age_category(c: str | Column = "age", right: bool = False) -> Column:
     """The two age binnings of the source: left-closed to infinity, or right-closed to 96."""
     top = S.AGE_TOP_RIGHT if right else S.AGE_TOP_LEFT

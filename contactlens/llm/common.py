@@ -76,26 +76,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = written(edges.where("a is not null and b is not null and a <> b")
                 .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
+        # done when every node has one edge, to a node that has none to a smaller one
+        inner = e.select(F.col("u").alias("v"), F.lit(1).alias("inner")).distinct()
+        state = e.join(inner, "v", "left").agg(F.count("inner").alias("deep"), F.count(F.lit(1)).alias("edges"),
+                                               F.countDistinct("u").alias("nodes")).first()
+        if state["deep"] == 0 and state["edges"] == state["nodes"]:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above a node move to the smallest of its neighbourhood
         large = (e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u")
                  .select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: a node and its smaller neighbours move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        nxt = written(small, "cc")
-        # done when every node has one edge, to a node that has none above it
-        tops = nxt.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        forest = nxt.join(tops.select(F.col("u").alias("v"), F.lit(1).alias("inner_node")), "v", "left")
-        bad = forest.agg(F.count("inner_node").alias("deep"), F.count(F.lit(1)).alias("all")).first()
-        e = nxt
-        if bad["deep"] == 0 and tops.where("n > 1").isEmpty():
-            break
+        e = written(small, "cc")
     else:
         raise RuntimeError("components did not settle")
     tops = e.select(F.col("v").alias("node")).distinct()

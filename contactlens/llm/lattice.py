@@ -32,7 +32,7 @@ SEED = 8
 #: rank added before the piece weight 1 / (rank + OFFSET) is taken; byte pieces count as rarer than any other
 OFFSET = 10.0
 #: bytes of text that share one set of word lattices
-SLICE = 1 << 19
+SLICE = 1 << 20
 #: stands for a blank inside a lattice; no UTF-8 text holds this byte
 BLANK = 0xFF
 

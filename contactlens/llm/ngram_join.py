@@ -11,9 +11,9 @@ and indexed by its single rare tokens and by all 2-token combinations within a
 frequent class. Destroying every signature takes more than tau missing tokens,
 so linked documents share one. Candidates are verified exactly.
 
-Links are needed for connected components only: first every document is
-checked against the smallest document of its signature's list, then only pairs
-that are still in different components.
+Links are needed for connected components only: every document is checked
+against single documents of its signatures' lists for some rounds, then all
+pairs that are still in different components are.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ WORDS, PERCENT = 5, 80
 OFTEN, FREQUENT = 16, 1 << 20
 #: a frequent class for so many tokens of a document's size (sizes by powers of two)
 CLASS_SIZE = 16
+#: star rounds at most before all remaining pairs are taken, and centres a set meets in one
+STAR_ROUNDS, CENTRES = 4, 4
 #: longs of the parity bitmap that bounds two sets' difference
 LONGS = 16
 _NODE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -53,7 +55,7 @@ def levels(n: int, percent: int = PERCENT) -> list[int]:
 
 def node_of(s: np.ndarray) -> np.uint64:
     """64-bit digest of a set."""
-    return mix(np.array([np.bitwise_xor.reduce(mix(s ^ _NODE)) + s.sum(dtype=np.uint64)]))[0]
+    return mix(np.array([np.bitwise_xor.reduce(mix(s ^ _NODE))]) + s.sum(keepdims=True, dtype=np.uint64))[0]
 
 
 def bitmap_of(s: np.ndarray) -> np.ndarray:
@@ -231,6 +233,7 @@ def index(texts: DataFrame, bits: int, frequent: np.ndarray, percent: int = PERC
             size = np.diff(np.concatenate([at, [len(e)]]))
             other = (np.maximum.reduceat(e["node"], at) != np.minimum.reduceat(e["node"], at)) | (np.maximum.reduceat(e["seen"], at) > 0)
             e = e[np.repeat(other, size)]
+            e = e[np.concatenate([[True], (e["sig"][1:] != e["sig"][:-1]) | (e["node"][1:] != e["node"][:-1])])] if len(e) else e
         full = _gather(table, 2, [("sig", "<u8"), ("node", "<u8"), ("n", "<i4")])
         docs = _gather(table, 1, DOC)
         sig = np.concatenate([(part << 32) | e["sig"].astype(np.int64), full["sig"].astype(np.int64)])
@@ -254,6 +257,12 @@ def _sized(a: str, b: str, percent: int = PERCENT):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _close(percent: int = PERCENT):
+    """Sizes and bitmaps allow a link: the symmetric difference is at most (100 - p) / (100 + p) of the sizes' sum."""
+    differ = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return _sized("a_n", "b_n", percent) & (differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` of nodes that are linked.
 
@@ -262,10 +271,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     """
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("bitmap").alias(f"{x}_map"), F.col("n").alias(f"{x}_n"),
                                   F.col("doc_id").alias(f"{x}_doc"))
-    differ = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # linked: the symmetric difference is at most (100 - p) / (100 + p) of the sizes' sum
-    close = differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
-    left = written(pairs.join(side("a"), "a").join(side("b"), "b").where(close & _sized("a_n", "b_n", percent))
+    left = written(pairs.join(side("a"), "a").join(side("b"), "b").where(_close(percent))
                    .select("a", "b", "a_doc", "b_doc"), "close")
     bits = texts.sparkSession.sparkContext.broadcast(
         bit_array(left.select(F.explode(F.array("a_doc", "b_doc")).alias("d")).distinct()))
@@ -284,13 +290,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     used = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found = map_arrow(texts, sets, "node long, tokens array<long>").join(used, "node", "left_semi").dropDuplicates(["node"])
     found = written(found, "sets")
+    # a is the centre of a star, so the many b sides move first and the few centres come to them
+    side_b = found.join(left.select(F.col("b").alias("node")), "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("b_set"))
+    side_a = found.join(left.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), F.col("tokens").alias("a_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    return written(left.select("a", "b").join(found.select(F.col("node").alias("a"), F.col("tokens").alias("a_set")), "a")
-                   .join(found.select(F.col("node").alias("b"), F.col("tokens").alias("b_set")), "b")
-                   .withColumn("both", both)
+    return written(left.select("a", "b").join(side_b, "b").join(side_a, "a").withColumn("both", both)
                    .where(F.col("both") * 100 >= (F.size("a_set") + F.size("b_set") - F.col("both")) * percent).select("a", "b"), "links")
 
 
+def _open(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """The entries ``(sig, node, n, component)`` of lists that hold more than one component, written."""
+    placed = entries.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    return written(placed.join(mixed, "sig", "left_semi").select("sig", "node", "n", "component"), "open")
+
+
+def _star(entries: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b): every set b against up to CENTRES sets a, drawn by hash from its lists' largest components."""
+    centre = F.min(F.struct(F.xxhash64("node", "sig", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c")))
+    lists = (entries.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"), centre.alias("x"))
+             .groupBy("sig").agg(F.max_by("x", F.struct("m", "component")).alias("x")).select("sig", "x.a", "x.a_n", "x.a_c"))
+    met = entries.join(lists, "sig").where((F.col("component") != F.col("a_c")) & _sized("n", "a_n", percent))
+    picks = [F.min(F.struct(F.xxhash64("a", F.lit(j)), "a")).alias(f"p{j}") for j in range(CENTRES)]
+    return (met.groupBy(F.col("node").alias("b")).agg(*picks)
+            .select("b", F.explode(F.array_distinct(F.array(*[F.col(f"p{j}.a") for j in range(CENTRES)]))).alias("a"))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def join_components(documents: DataFrame, percent: int = PERCENT, often: int = OFTEN, most: int = FREQUENT) -> DataFrame:
     """One row per document: ``(doc_id, n_shingles, component_id)``.
 
@@ -312,27 +338,38 @@ def join_components(documents: DataFrame, percent: int = PERCENT, often: int = O
     docs = idx.where("kind = 1").select("doc_id", "n", "node", "bitmap")
     nodes = written(docs.where("n > 0 and doc_id is not null").groupBy("node")
                     .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-    entries = idx.where("kind = 0").select("sig", "node", "n").distinct()
+    entries = idx.where("kind = 0").select("sig", "node", "n")
 
-    # round 1: each set against the smallest set of its signatures' lists
+    # each set against the smallest set of its signatures' lists
     lists = entries.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("top"))
     star = (entries.join(lists, "sig").where(F.col("node") != F.col("top.node"))
             .withColumn("top_n", F.col("top.n")).where(_sized("n", "top_n", percent))
             .groupBy(F.col("node").alias("b")).agg(F.min("top.node").alias("a")).select("a", "b"))
     links = _verified(star, nodes, texts, percent)
-
-    # round 2: all pairs of a list that are in different components
-    first = components(links)
-    placed = written(entries.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    open_lists = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    left = placed.join(open_lists, "sig", "left_semi")
-    x = left.select("sig", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    y = left.select("sig", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-    rest = (x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _sized("a_n", "b_n", percent))
-            .select("a", "b").distinct())
-    more = _verified(rest, nodes, texts, percent)
-
-    parts = components(links.unionByName(more))
+    parts = components(links)
+    left = _open(entries, parts)
+    size = left.count()
+
+    # lists still in several components: against some sets of the list's largest component, while that helps
+    for turn in range(STAR_ROUNDS):
+        if size == 0:
+            break
+        links = links.unionByName(_verified(_star(left, turn, percent), nodes, texts, percent))
+        parts = components(links)
+        left = _open(left.select("sig", "node", "n"), parts)
+        size, before = left.count(), size
+        if size > before // 2:
+            break
+
+    # what is left: all pairs of a list in different components; the join itself drops those whose bitmaps differ too much
+    if size:
+        maps = nodes.select("node", "bitmap")
+        side = left.join(maps, "node")
+        cols = lambda x: side.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}_n"),
+                                     F.col("component").alias(f"{x}_c"), F.col("bitmap").alias(f"{x}_map"))
+        rest = (cols("a").join(cols("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _close(percent))
+                .select("a", "b").distinct())
+        parts = components(links.unionByName(_verified(rest, nodes, texts, percent)))
     named = docs.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
     small = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     return (named.join(small, "c", "left")

@@ -15,7 +15,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlens.functions import expressions as X
@@ -79,9 +79,9 @@ def scale(column: str, center: float, spread: float) -> Column:
     return (x / F.lit(float(spread)) if spread else x).alias(column)
 
 
-def encode_label(column: str, classes: Sequence[str]) -> Column:
-    pos = F.array_position(F.array(*[F.lit(v) for v in classes]), X.col(column))
-    return F.when(pos > 0, (pos - 1).cast("double")).alias("label")
+def encode_label(column: str, classes: Sequence[str], handle_invalid: str = "error") -> Column:
+    """Position in the sorted classes; any other value raises, or is NULL with ``"null"``."""
+    return encode_ordinal(column, classes, handle_invalid).alias("label")
 
 
 # -- fitted state -----------------------------------------------------------------------
@@ -127,7 +127,7 @@ class Encoding:
 def feature_groups(o: Options) -> dict[str, list[str]]:
     binary = [c for c in S.BINARY_FEATURES if o.split_pdays or c != "pdays_contact"]
     ordinal = ["education", "age_cat"] if o.bin_age else ["education"]
-    numeric = ["balance", "campaign", "duration", "previous", "pdays_days" if o.split_pdays else "pdays"]
+    numeric = [c if o.split_pdays or c != "pdays_days" else "pdays" for c in S.NUMERIC_FEATURES]
     if not o.bin_age:
         numeric = ["age", *numeric]
     return {"binary": binary, "onehot": list(S.ONEHOT_FEATURES), "ordinal": ordinal, "numeric": numeric}
@@ -135,18 +135,23 @@ def feature_groups(o: Options) -> dict[str, list[str]]:
 
 def fit_encoding(train: DataFrame, options: Options | None = None,
                  target: str = S.TARGET) -> Encoding:
-    """Everything the encoding learns from the training rows, in one Spark job."""
+    """Everything the encoding learns from the training rows.
+
+    One small job counts the categories per column, a second one brings them
+    and the numeric statistics. More than ``MAX_CATEGORIES`` distinct non-NULL
+    values in a categorical column raise.
+    """
     o = options or Options()
     g = feature_groups(o)
     cat_cols = ["education", *g["onehot"], target]
     cats = (train.select(*[X.col(c).cast("string").alias(c) for c in cat_cols])
-            .unpivot([], cat_cols, "variable", "value")
-            .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-            # never ship more than the limit (+1, to detect overflow) per column to the driver
-            .withColumn("_rk", F.row_number().over(
-                Window.partitionBy("variable").orderBy(F.desc("n"), F.asc("value"))))
-            .where(F.col("_rk") <= MAX_CATEGORIES + 1)
-            .select("variable", "value", "n", *[F.lit(None).cast("double").alias(k) for k in ("a", "b", "c")]))
+            .unpivot([], cat_cols, "variable", "value").where(F.col("value").isNotNull())
+            .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")))
+    # one row per column; no category reaches the driver before their number is known to be small
+    for r in cats.groupBy("variable").agg(F.count(F.lit(1)).alias("n_categories")).collect():
+        if r["n_categories"] > MAX_CATEGORIES:
+            raise ValueError(f"{r['variable']} has {r['n_categories']} categories (limit {MAX_CATEGORIES})")
+    cats = cats.select("variable", "value", "n", *[F.lit(None).cast("double").alias(k) for k in ("a", "b", "c")])
     num = (train.select(*[X.col(c).cast("double").alias(c) for c in g["numeric"]])
            .unpivot([], g["numeric"], "variable", "value").where(F.col("value").isNotNull()))
     if o.scaler == "robust":
@@ -168,15 +173,11 @@ def fit_encoding(train: DataFrame, options: Options | None = None,
     numeric: dict[str, tuple[float, float]] = {}
     for r in rows:
         if r["n"] is not None:
-            if r["value"] is not None:
-                counts.setdefault(r["variable"], {})[r["value"]] = r["n"]
+            counts.setdefault(r["variable"], {})[r["value"]] = r["n"]
         elif o.scaler == "robust":
             numeric[r["variable"]] = (r["b"], r["c"] - r["a"])
         else:
             numeric[r["variable"]] = (r["b"], r["c"] or 0.0)
-    for c, vals in counts.items():
-        if len(vals) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has {len(vals)} categories (limit {MAX_CATEGORIES})")
     edu = {k: v for k, v in counts.get("education", {}).items()
            if not (o.mode_excludes_unknown and k == "unknown")}
     mode = min(edu.items(), key=lambda kv: (-kv[1], kv[0]))[0] if edu else None
@@ -231,7 +232,7 @@ def apply_encoding(df: DataFrame, enc: Encoding, target: str = S.TARGET,
         df = df.withColumn("education", F.when(edu == "unknown", F.lit(enc.education_mode)).otherwise(edu))
     cols: list[Column] = [X.col(k) for k in keep if k in df.columns]
     if target in df.columns:
-        cols.append(encode_label(target, enc.label_classes))
+        cols.append(encode_label(target, enc.label_classes, handle_invalid))
     cols += encode_binary(g["binary"])
     cols += encode_onehot({c: enc.categories[c] for c in g["onehot"]})
     cols.append(encode_ordinal("education", S.EDUCATION_ORDER, handle_invalid))

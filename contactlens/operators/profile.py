@@ -31,7 +31,7 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 
 def profile_describe(df: DataFrame, columns: Sequence[str] = S.DESCRIBE_COLUMNS,
-                     std_digits: int | None = 6, exact: bool = True,
+                     std_digits: int | None = None, exact: bool = True,
                      accuracy: int = 10000) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75% (linear), max per numeric column.
 

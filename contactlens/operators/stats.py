@@ -3,8 +3,8 @@
 Every report is one scan: multi-column reports ``unpivot`` first (an Expand,
 no shuffle) and aggregate once with partial (map-side) aggregation, so the
 shuffle carries one row per (variable, value) per task. Quantiles go through
-value counts (``contactlens.functions.quantiles``). Shares use a scalar
-one more aggregate over the already aggregated rows, never an
+value counts (``contactlens.functions.quantiles``). Shares use one more
+aggregate over the already aggregated rows, never an
 un-partitioned window over raw rows.
 """
 
@@ -108,7 +108,7 @@ def numeric_histogram(df: DataFrame, columns: Sequence[str] = S.HISTOGRAM_COLUMN
     the maximum falls in the last bin. One scan: rows are counted per
     (column, value) first, so later steps see distinct values only.
     """
-    vc = (_long(df, columns, cast="bigint").where(F.col("value").isNotNull())
+    vc = (_long(df, columns, cast="double").where(F.col("value").isNotNull())
           .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
     # range per column as window aggregates over its distinct values (one scan in all)
     wv = Window.partitionBy("variable")
@@ -126,7 +126,7 @@ def numeric_histogram(df: DataFrame, columns: Sequence[str] = S.HISTOGRAM_COLUMN
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = S.CORRELATION_COLUMNS,
-                       digits: int | None = 6) -> DataFrame:
+                       digits: int | None = None) -> DataFrame:
     """Pearson correlations in long form ``(var_x, var_y, corr)``, pairwise NULL skipping.
 
     One aggregate computes the upper triangle (fixed-size buffers, partial
@@ -229,8 +229,8 @@ def monthly_campaign(df: DataFrame, target: str = S.TARGET) -> DataFrame:
 BOX_COLUMNS = ["age", "balance", "duration", "pdays"]
 
 
-def _box_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    long = _long(df, columns, ids=[target], cast="bigint").where(F.col("value").isNotNull())
+def _box_long(df: DataFrame, columns: Sequence[str], target: str, ids: Sequence[str] = ()) -> DataFrame:
+    long = _long(df, columns, ids=[*ids, target], cast="double").where(F.col("value").isNotNull())
     # the pdays box leaves out the "never contacted" sentinel
     return long.where(~((F.col("variable") == "pdays") & (F.col("value") == -1)))
 
@@ -278,10 +278,7 @@ def outlier_rows(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS, target: st
     bounded by the column list times the number of target values.
     """
     fences = box_summary(df, columns, target).select("variable", target, "lower_fence", "upper_fence")
-    long = _box_long(df, columns, target) if "row_id" not in df.columns else (
-        _long(df, columns, ids=["row_id", target], cast="bigint")
-        .where(F.col("value").isNotNull())
-        .where(~((F.col("variable") == "pdays") & (F.col("value") == -1))))
+    long = _box_long(df, columns, target, ["row_id"])
     return (long.join(F.broadcast(fences), ["variable", target])
             .where((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence")))
             .drop("lower_fence", "upper_fence"))

@@ -7,6 +7,7 @@ Each query starts from the contact table derived from the warehouse tables
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from contactlens.functions import expressions as X
 from contactlens.operators import stats
 from contactlens.plans.oracle import with_campaign
 from contactlens.sources import schema as S
-from contactlens.sources.campaign import campaign
+from contactlens.sources.campaign import _key, campaign
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,7 +148,7 @@ def _corr_sql() -> str:
 
 @register("correlation_matrix", _corr_sql())
 def _correlation_matrix(spark, sf):
-    return stats.correlation_matrix(campaign(spark, sf))
+    return stats.correlation_matrix(campaign(spark, sf), digits=6)
 
 
 @register("count_by_age_target", with_campaign(
@@ -226,7 +227,7 @@ def _box_summary(spark, sf):
     "SELECT bl.row_id, bl.deposit, bl.variable, bl.value FROM bl JOIN bf USING (variable, deposit) "
     "WHERE bl.value < bf.lower_fence OR bl.value > bf.upper_fence", _box_cte()))
 def _outlier_rows(spark, sf):
-    return stats.outlier_rows(campaign(spark, sf))
+    return stats.outlier_rows(campaign(spark, sf)).withColumn("value", F.col("value").cast("bigint"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +266,7 @@ def _profile_shape(spark, sf):
                f"CAST(MIN({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, "
                f"quantile_cont({c}, 0.75) AS p75, CAST(MAX({c}) AS DOUBLE) AS max FROM campaign"))))
 def _profile_describe(spark, sf):
-    return P.profile_describe(campaign(spark, sf))
+    return P.profile_describe(campaign(spark, sf), std_digits=6)
 
 
 @register("profile_missing", with_campaign(_union_sql(
@@ -425,7 +426,7 @@ FIXTURE_CATEGORIES = {
     "contact": ["cellular", "telephone", "unknown"],
     "poutcome": ["failure", "other", "success", "unknown"],
 }
-ROBUST_COLS = ["balance", "campaign", "duration", "previous", "pdays_days"]
+ROBUST_COLS = list(S.NUMERIC_FEATURES)
 
 
 def _robust_cte(cols=ROBUST_COLS, src="tr") -> str:
@@ -468,13 +469,18 @@ def _prepared(spark, sf, options=None):
     return PP.preprocess(campaign(spark, sf), options)
 
 
+def _state_key(spark, sf) -> tuple:
+    """Names fitted state by application and by the input files as they are now."""
+    return spark.sparkContext.applicationId, _key(sf)
+
+
 _ENCODINGS: dict[tuple, FE.Encoding] = {}
 _ENC_LOCK = threading.RLock()
 
 
 def _encoding(spark, sf, preset: int = 2) -> FE.Encoding:
     """The fitted state of a preset, fitted once per session and input."""
-    key = (id(spark), sf, preset)
+    key = (*_state_key(spark, sf), preset)
     with _ENC_LOCK:
         if key not in _ENCODINGS:
             prep = _prepared(spark, sf, FE.PRESETS[preset])
@@ -688,7 +694,7 @@ def encoded_table(spark, sf, with_duration: bool = False):
     result is a lazy plan over the written contact table with literal
     parameters, so reusing it reuses no data.
     """
-    key = (id(spark), sf)
+    key = _state_key(spark, sf)
     with _FIT_LOCK:
         if key not in _ENCODED:
             _ENCODED[key] = PP.preprocess_and_transform(campaign(spark, sf))[0]
@@ -698,7 +704,7 @@ def encoded_table(spark, sf, with_duration: bool = False):
 
 def fitted(spark, sf, preset: str, with_duration: bool = False):
     """One fit per (session, input, preset) in this process; later queries reuse it."""
-    key = (id(spark), sf, preset, with_duration)
+    key = (*_state_key(spark, sf), preset, with_duration)
     with _FIT_LOCK:
         if key not in _FITTED:
             _FITTED[key] = M.train_preset(encoded_table(spark, sf, with_duration), preset)
@@ -743,7 +749,6 @@ def _feature_ablation(spark, sf):
 
 
 def _model_path(spark, sf, preset: str) -> str:
-    from contactlens.sources.campaign import _key
     return f"{scratch_dir(spark)}/contactlens/models/{preset}-{_key(sf)}"
 
 
@@ -755,19 +760,17 @@ def _save_model(spark, sf):
             .select(F.col("class").alias("stage_class"), F.col("uid").alias("stage_uid"), "sparkVersion"))
 
 
-@register("load_model")
+@register("load_model", with_campaign(f"SELECT row_id, true AS same FROM campaign WHERE {SPLIT_SQL}"))
 def _load_model(spark, sf):
     missing = M.load_model(f"{scratch_dir(spark)}/contactlens/models/does-not-exist")
     if missing is not None:
         raise AssertionError("a missing model must load as None")
-    path = _model_path(spark, sf, "random_forest")
-    model = M.load_model(path)
-    if model is None:
-        model = M.load_model(M.save_model(fitted(spark, sf, "random_forest"), path))
+    own = fitted(spark, sf, "random_forest")
+    model = M.load_model(M.save_model(own, f"{_model_path(spark, sf, 'random_forest')}-{uuid.uuid4().hex[:12]}"))
     test = encoded_table(spark, sf).where(F.col("is_test"))
-    a = M.score_batch(fitted(spark, sf, "random_forest"), test).select("row_id", "prediction")
-    b = M.score_batch(model, test).select("row_id", F.col("prediction").alias("prediction_reloaded"))
-    return a.join(b, "row_id")
+    a = M.score_batch(own, test).select("row_id", "probability", "prediction")
+    b = M.score_batch(model, test).select("row_id", F.col("probability").alias("p2"), F.col("prediction").alias("c2"))
+    return a.join(b, "row_id").select("row_id", ((F.col("probability") == F.col("p2")) & (F.col("prediction") == F.col("c2"))).alias("same"))
 
 
 @register("model_bakeoff")

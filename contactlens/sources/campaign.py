@@ -18,7 +18,7 @@ from contactlens.operators.joins import hot_key_join
 from contactlens.sources import schema as S
 from contactlens.sources.storage import fingerprint, materialize
 
-_VERSION = "campaign-v3"
+_VERSION = "campaign-v4"
 
 
 def load_campaign(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -55,11 +55,12 @@ def _customer_sequence(orders: DataFrame, n_parts: int,
     chunk assignment once (to the shared scratch folder) and every branch
     reads that copy.
     """
-    order_key = ["o_custkey", "od", "o_orderkey"]
+    at = "ots" if "ots" in orders.columns else "od"  # the full timestamp, where there is one
+    order_key = ["o_custkey", at, "o_orderkey"]
     ranged = stage(orders.repartitionByRange(n_parts, *order_key)
                    .withColumn("pid", F.spark_partition_id()))
 
-    w_chunk = Window.partitionBy("pid", "o_custkey").orderBy("od", "o_orderkey")
+    w_chunk = Window.partitionBy("pid", "o_custkey").orderBy(at, "o_orderkey")
     local = (ranged
              .withColumn("local_seq", F.row_number().over(w_chunk) - 1)
              .withColumn("local_prev_od", F.lag("od").over(w_chunk))
@@ -70,7 +71,7 @@ def _customer_sequence(orders: DataFrame, n_parts: int,
     chunks = (ranged.join(F.broadcast(border), "o_custkey", "left_semi")
               .groupBy("pid", "o_custkey")
               .agg(F.count(F.lit(1)).alias("n"),
-                   F.max_by(F.struct("od", "o_orderstatus"), F.struct("od", "o_orderkey")).alias("last")))
+                   F.max_by(F.struct("od", "o_orderstatus"), F.struct(at, "o_orderkey")).alias("last")))
     w_cust = Window.partitionBy("o_custkey").orderBy("pid")
     carry = chunks.select(
         "pid", "o_custkey",
@@ -100,7 +101,7 @@ def campaign_from_tables(spark: SparkSession, sf_dir: str, n_parts: int | None =
     key = key or _key(sf_dir)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
-        F.to_date("o_orderdate").alias("od"))
+        F.to_date("o_orderdate").alias("od"), F.col("o_orderdate").alias("ots"))
     lines = (spark.read.parquet(f"{sf_dir}/lineitem.parquet")
              .groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines")))
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(

@@ -8,7 +8,6 @@ without that setting gets a private temporary folder, as in tests.
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 import threading
 import uuid
@@ -17,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.RLock()
-_MEMO: dict[tuple[int, str], str] = {}
+_MEMO: dict[tuple[str, str], str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,7 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
         path = spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder (HDFS, S3, ...)"
         )
@@ -38,15 +38,24 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def fingerprint(*parts: object) -> str:
-    """Stable key for a derived table: its inputs (paths, local file stats) and version."""
+    """Stable key for a derived table: its version, and its inputs as they are now.
+
+    A part that names an existing file or folder of any file system counts
+    with the path, length and modification time of every file in it.
+    """
+    sc = SparkSession.getActiveSession().sparkContext
     h = hashlib.sha1()
     for p in parts:
         h.update(repr(p).encode())
-        if isinstance(p, str) and os.path.exists(p):
-            for root, _dirs, files in sorted(os.walk(p)):
-                for f in sorted(files):
-                    st = os.stat(os.path.join(root, f))
-                    h.update(f"{root}/{f}:{st.st_size}:{int(st.st_mtime)}".encode())
+        if isinstance(p, str) and "/" in p:
+            path = sc._jvm.org.apache.hadoop.fs.Path(p)
+            fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+            if fs.exists(path):
+                files, found = fs.listFiles(path, True), []
+                while files.hasNext():
+                    f = files.next()
+                    found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+                h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
@@ -62,11 +71,11 @@ def materialize(spark: SparkSession, df: DataFrame | Callable[[], DataFrame], na
     half-written or concurrently written table is never read.
     """
     base = f"{scratch_dir(spark)}/contactlens/{name}-{key}"
-    memo_key = (id(spark), base)
+    memo_key = (spark.sparkContext.applicationId, base)
     with _LOCK:
         if memo_key not in _MEMO:
             marker = f"{base}/_done"
-            if not _exists(spark, marker):
+            if not exists(spark, marker):
                 data = f"{base}/data-{uuid.uuid4().hex[:12]}"
                 (df() if callable(df) else df).write.mode("errorifexists").parquet(data)
                 spark.createDataFrame([(data,)], "path string").coalesce(1) \
@@ -75,7 +84,7 @@ def materialize(spark: SparkSession, df: DataFrame | Callable[[], DataFrame], na
     return spark.read.parquet(_MEMO[memo_key])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Path test on whatever file system the path names (HDFS, S3, local)."""
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
