@@ -1,0 +1,19 @@
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, both string, a string, node string"
+
+
+import pytest  # noqa: E402
+
+
+@pytest.fixture
+def docs(spark):
+    """A frame of documents from (doc_id, text) pairs, with extra columns whose names clash with inner ones."""
+    def make(pairs, source="s"):
+        rows = [(i, t, "en", source if isinstance(source, str) else source[k % len(source)], len(t) if t is not None else None, "x", "y", "z")
+                for k, (i, t) in enumerate(pairs)]
+        return spark.createDataFrame(rows, DOCS)
+    return make
