@@ -21,23 +21,45 @@ from contactlens.sources.storage import fingerprint, materialize
 _VERSION = "campaign-v4"
 
 
-def load_campaign(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def load_campaign(spark: SparkSession, path: str, fmt: str | None = None, key: str | None = None) -> DataFrame:
     """Read the contact table with an explicit schema (no inference pass).
 
-    A file without ``row_id`` gets one from ``monotonically_increasing_id``:
-    unique and increasing in file order, which is all later operators need.
+    ``row_id`` is the column ``key`` where one is named, or the input's own
+    ``row_id``; otherwise rows are numbered from 0 in file order (files by
+    name), which does not depend on how Spark cuts the files into partitions.
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        df = (spark.read.schema(S.CAMPAIGN_FILE_SCHEMA)
-              .option("header", True).option("mode", "FAILFAST").csv(path))
+        schema = S.CAMPAIGN_FILE_SCHEMA
+        if key and key not in schema.names:
+            raise ValueError(f"a CSV contact file has no column {key}")
+        df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
     else:
         df = spark.read.parquet(path)
-    if "row_id" not in df.columns:
-        df = df.withColumn("row_id", F.monotonically_increasing_id())
+    if key:
+        df = df.withColumn("row_id", F.col(key))
+    elif "row_id" not in df.columns:
+        df = _numbered(df)
     return df.select("row_id", *S.CAMPAIGN_COLUMNS)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df``, just read from files, with ``row_id``: its row number in file order.
+
+    A split (a byte range of a file) is read by one task from front to back,
+    so a row's place in it is its increasing id less the split's smallest.
+    The table of splits has one row of four numbers per split, 128 MB of
+    input each by default, and is joined back by the split's key.
+    """
+    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                   F.monotonically_increasing_id().alias("_id"))
+    splits = at.groupBy("_file", "_start").agg(F.min("_id").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_file", "_start", "_lo", F.coalesce(before, F.lit(0)).alias("_before"))
+    return (at.join(splits, ["_file", "_start"])
+            .withColumn("row_id", F.col("_before") + F.col("_id") - F.col("_lo")).drop("_file", "_start", "_id", "_lo", "_before"))
+
+
 def _customer_sequence(orders: DataFrame, n_parts: int,
                        stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Per order: its rank among the customer's orders and the previous order.

@@ -8,7 +8,8 @@ from contactlens.operators import models as M
 from contactlens.operators import stats
 from contactlens.plans import preprocess as PP
 from contactlens.sources import storage
-from contactlens.sources.campaign import campaign
+from contactlens.sources import schema as S
+from contactlens.sources.campaign import campaign, load_campaign
 from conftest import SF001
 
 
@@ -58,3 +59,29 @@ def test_rows_without_label_are_scored(spark):
     out = M.score_batch(model, enc.select("row_id", "a", "b"))
     assert out.columns == ["row_id", "probability", "prediction"]
     assert out.where((F.col("row_id") % 2).cast("double") != F.col("prediction")).count() == 0
+
+
+def test_row_ids_do_not_depend_on_partitions(spark, tmp_path):
+    view = campaign(spark, SF001).orderBy("row_id").select(*S.CAMPAIGN_FILE_SCHEMA.names)
+    both = view.repartitionByRange(2, "age")
+    both.write.option("header", True).csv(str(tmp_path / "c.csv"))
+    seen = []
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for limit in ("4k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            got = load_campaign(spark, str(tmp_path / "c.csv"))
+            seen.append(sorted(tuple(map(str, r)) for r in got.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert seen[0] == seen[1]
+    files = sorted((tmp_path / "c.csv").glob("part-*.csv"))
+    ages = [line.split(",")[0] for f in files for line in f.read_text().splitlines()[1:]]
+    by_id = {int(r[0]): r[1:] for r in seen[0]}
+    col = S.CAMPAIGN_COLUMNS.index("age")
+    assert len(files) == 2 and [by_id[i][col] for i in range(len(ages))] == ages
+
+
+def test_a_key_column_names_the_rows(spark, tmp_path):
+    campaign(spark, SF001).drop("row_id").withColumn("contact_key", F.col("age").cast("long")).write.parquet(str(tmp_path / "p"))
+    assert load_campaign(spark, str(tmp_path / "p"), key="contact_key").where("row_id <> age").count() == 0
