@@ -168,6 +168,36 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_reads_whole_lines(docs):
+    """Lines that agree in the first characters of their words, or have no blanks, go only if they are alike throughout."""
+    rng = random.Random(14)
+    tail = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    cjk = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    tabs = lambda: "2024-01-01\t" + "\t".join(tail(7) for _ in range(8))
+    words = lambda: " ".join(f"identifier{tail(25)}" for _ in range(4))
+    makers = [lambda: f"https://www.{tail(60)}", lambda: "今天我们在这里讨论天气" + cjk(50), tabs, words, lambda: "https://www." + "é" + tail(60)]
+    lines = [make() for make in makers for _ in range(8)]
+    same = [(100 + i, t[:-2] + ("日" if i % 2 else "q") + t[-1:]) for i, t in enumerate(lines)]  # one character near the end: alike
+    out = {r["doc_id"]: r["_gone"] for r in line_dedup.dedup_lines(docs([(i, t) for i, t in enumerate(lines)] + same)).collect()}
+    assert all(out[i] == [] for i in range(len(lines)))
+    assert all(out[i] == [0] for i, _ in same)
+
+
+def test_line_dedup_brute_force(spark, docs):
+    rng = random.Random(15)
+    shingle = lambda t: {t[k:k + line_dedup.SHINGLE] for k in range(max(1, len(t) - line_dedup.SHINGLE + 1))}
+    base = [text(rng, 40) for _ in range(10)] + ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120)) for _ in range(5)] + ["=-" * 150, "日本" * 5 + "😀" * 9]
+    pairs = [(17 * k + i, t if not k else t[:(p := rng.randrange(len(t)))] + rng.choice("xé日😀") * rng.randrange(1, 4) + t[p + k:]) for k in range(5) for i, t in enumerate(base)]
+    s = {i: shingle(re.sub(" +", " ", t.strip(" ").lower())) for i, t in pairs}
+    links = [(a, b) for a, b in itertools.combinations(sorted(s), 2) if 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    exp = roots(s, links)
+    out = {r["doc_id"]: r["_gone"] for r in line_dedup.dedup_lines(docs(pairs)).collect()}
+    assert {i for i, gone in out.items() if gone} == {i for i, c in exp.items() if c != i}
+    df = spark.createDataFrame([(t,) for t in ["a" * 500, "ab" * 300, text(rng, 200), "é日😀" * 4, "short"]], "t string")
+    for r in df.select(line_dedup.sketch(line_dedup.shingles(F.col("t"))).alias("k"), line_dedup.shingles(F.col("t")).alias("h"), "t").collect():
+        assert r["k"] == sorted(set(r["h"]))[:line_dedup.KEPT] and len(r["h"]) == max(1, len(r["t"]) - 9) and len(set(r["h"])) == len(shingle(r["t"]))
+
+
 # -- 5 ------------------------------------------------------------------------------
 
 def distance_within(s, notice):
