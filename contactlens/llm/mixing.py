@@ -17,6 +17,8 @@ SEED = 17
 #: as many source rows may be broadcast; beyond that the rates come by a shuffle join on (source, salt)
 BROADCAST_SOURCES = 20_000
 SALTS = 64
+#: rate beyond which exp(-rate) is not used
+LARGE = 700.0
 #: power of the actual share that makes the default target: below 1 it lifts small sources
 ALPHA = 0.5
 
@@ -28,12 +30,21 @@ def uniform(id_col, seed: int):
 
 
 def poisson_steps(rate):
-    """Cumulative Poisson probabilities P(X <= 0), P(X <= 1), ... until they are 1 in double precision."""
+    """Cumulative Poisson probabilities P(X <= 0), P(X <= 1), ... until they are 1 in double precision.
+
+    exp(-rate) leaves the range of doubles beyond a rate of 700. From there on
+    the terms are taken relative to the one 12 deviations and 24 below the
+    mean (e**-72 of the mode at most; those before it count as 0) and divided
+    by their sum.
+    """
     n = (F.ceil(rate + F.lit(12.0) * F.sqrt(rate)) + 24).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
+    low = (F.floor(rate - F.lit(12.0) * F.sqrt(rate)) - 24).cast("int")
+    start = lambda p: F.struct(p.alias("p"), F.array(p).alias("c"))
     step = lambda a, i: F.struct((a["p"] * rate / i).alias("p"),
                                  F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * rate / i)).alias("c"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step)["c"]
+    direct = F.aggregate(F.sequence(F.lit(1), n), start(F.exp(-rate)), step)["c"]
+    relative = F.aggregate(F.sequence(low + 1, n), start(F.lit(1.0)), step, lambda a: F.transform(a["c"], lambda c: c / F.element_at(a["c"], -1)))
+    return F.when(rate <= LARGE, direct).otherwise(F.concat(F.array_repeat(F.lit(0.0), low), relative))
 
 
 def rates(documents: DataFrame, targets: DataFrame | None = None, source: str = "source", text: str = "text",

@@ -372,3 +372,23 @@ def test_mixing(spark, docs):
 def test_poisson_steps(spark):
     steps = spark.range(1).select(mixing.poisson_steps(F.lit(3.0)).alias("c")).first()["c"]
     assert steps[2] == pytest.approx(math.exp(-3) * (1 + 3 + 4.5)) and steps[-1] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("rate", [700.0, 701.0, 800.0, 6000.0])
+def test_poisson_steps_of_large_rates(spark, rate):
+    steps = np.array(spark.range(1).select(mixing.poisson_steps(F.col("id") + F.lit(rate)).alias("c")).first()["c"])
+    k, p = np.arange(len(steps)), np.diff(steps, prepend=0.0)
+    assert steps[-1] == pytest.approx(1.0) and (p >= 0).all()
+    mean = (k * p).sum()
+    assert mean == pytest.approx(rate, rel=1e-9) and ((k - mean) ** 2 * p).sum() == pytest.approx(rate, rel=1e-6)
+    exact = [math.exp(x * math.log(rate) - rate - math.lgamma(x + 1)) for x in k]
+    assert p == pytest.approx(exact, abs=1e-11)
+
+
+def test_mixing_of_a_tiny_source(spark, docs):
+    """A tiny source's documents are drawn, not all replicated by the same count."""
+    df = docs([(i, "x") for i in range(200)], source="b").unionByName(docs([(1000, "x" * 200 * 799)], source="a"))
+    target = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "source string, weight double")
+    assert {r["source"]: r["rate"] for r in mixing.rates(df, target).collect()}["b"] == pytest.approx(800.0)
+    n = np.array([r["count"] for r in mixing.mix(df, target).groupBy("doc_id").count().collect()])
+    assert len(n) == 200 and abs(n.mean() - 800) < 5 * math.sqrt(800 / 200) and 0.6 * 800 < n.var() < 1.5 * 800
