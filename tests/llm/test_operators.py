@@ -183,6 +183,15 @@ def test_line_dedup_reads_whole_lines(docs):
     assert all(out[i] == [0] for i, _ in same)
 
 
+def test_line_dedup_stage_keeps_short_lines(spark, docs):
+    """A document goes only if nothing but blanks is left; short unique lines stay."""
+    shared = text(random.Random(16), 20)
+    poem = "\n".join(f"verse {i}" for i in range(100))
+    df = docs([(1, shared), (2, f"{poem}\n{shared}"), (3, f" \n{shared}\n\t\u3000\n"), (4, f"{shared}\n五言絶句"), (5, shared.upper())])
+    kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.stage(spark, df, "").collect()}
+    assert kept == {1: (shared, len(shared)), 2: (poem, len(poem)), 4: ("五言絶句", 4)}
+
+
 def test_line_dedup_brute_force(spark, docs):
     rng = random.Random(15)
     shingle = lambda t: {t[k:k + line_dedup.SHINGLE] for k in range(max(1, len(t) - line_dedup.SHINGLE + 1))}
