@@ -351,6 +351,26 @@ def test_chunk_dedup(docs):
     assert out[200] is None and out[201] == "" and chunk_dedup.passages(df.limit(0)).count() == 0
 
 
+def test_chunk_dedup_whole_passages(docs):
+    """Passages of 51 words, in two documents each, are found to their true borders; so are ones without blanks."""
+    rng = random.Random(19)
+    planted = {k: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(150)) if k >= 200 else text(rng, 51) for k in range(220)}
+    pairs = [(2 * k + side, f"{text(rng, rng.randrange(9, 40))} {side} {t} {side} {text(rng, rng.randrange(9, 40))}") for k, t in planted.items() for side in (0, 1)]
+    df = docs(pairs)
+    whole, got = dict(pairs), {}
+    for x in chunk_dedup.passages(df).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    assert sum(i in got for i, _ in pairs) >= 0.995 * len(pairs)
+    for i, found in got.items():
+        assert whole[i].encode()[found[0]["start"]:found[0]["end"]].decode() == f" {planted[i // 2]} "
+        assert found[0]["n_words"] == 51 or i >= 400
+        assert found[0]["later_bytes"] == (found[0]["end"] - found[0]["start"] if i % 2 else 0)
+    left = {x["doc_id"]: x["text"] for x in chunk_dedup.dedup(df).collect()}
+    rows = chunk_dedup.with_text_left(df).collect()
+    assert {x["doc_id"]: x["text"] for x in rows if x["text"] is not None} == {i: left[i] for i in got} and len(rows) == sum(map(len, got.values()))
+    assert all(left[i] == (whole[i].replace(f" {planted[i // 2]} ", "") if i % 2 and i in got else whole[i]) for i in whole)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(10)
     t = text(rng, 2000)
