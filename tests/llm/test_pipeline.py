@@ -1,0 +1,65 @@
+"""Every stage of the pipeline, and all of them by run(), against brute force on a small table."""
+
+import hashlib
+import math
+import random
+
+import sentencepiece
+
+import corpus_pipeline
+from contactlens.llm import lattice, mixing
+from contactlens.llm.tokenizers import tokenizer_path
+
+WORDS = [f"w{i}" for i in range(4000)]
+
+
+def poisson_count(doc_id, rate):
+    u = int(hashlib.md5(f"{mixing.SEED}:{doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    p = c = math.exp(-rate)
+    n = 0
+    while c <= u:
+        n += 1
+        p *= rate / n
+        c += p
+    return n
+
+
+def test_pipeline(spark, tmp_path):
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    short = lambda words: "\n".join(" ".join(words[i:i + 3]) for i in range(0, len(words), 3))  # noqa: E731 (lines that line dedup leaves alone)
+    texts = {i: text(60) for i in range(20)}
+    line, near = text(20), [rng.choice(WORDS) for _ in range(120)]
+    texts |= {30: f"{line}\nverse one", 31: f"verse two\n{line}", 32: line, 40: short(near), 41: short([*near[:-3], "x", "y", "z"]), 50: None, 51: ""}
+    texts |= {60 + i: text(3) for i in range(6)}
+    source = {i: "small" if i >= 60 else "large" for i in texts}
+    spark.createDataFrame([(i, t, "en", source[i], len(t or "")) for i, t in texts.items()],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    after = [{i: t for i, t in texts.items() if t}]  # one kind of labels: all documents with features stay
+    after.append({i: "verse two" if i == 31 else t for i, t in after[0].items() if i != 32})
+    after.append({i: t for i, t in after[1].items() if i != 41})
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), exp in zip(corpus_pipeline.STAGES[:3], after):
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()} == {i: (t, len(t)) for i, t in exp.items()}
+
+    chars = {s: sum(len(t) for i, t in after[2].items() if source[i] == s) for s in ("small", "large")}
+    rate = {s: sum(chars.values()) * math.sqrt(c) / sum(map(math.sqrt, chars.values())) / c for s, c in chars.items()}
+    count = {i: n for i in after[2] if (n := poisson_count(i, rate[source[i]]))}
+    mixed = corpus_pipeline.written(corpus_pipeline.mix_sources(spark, docs, str(tmp_path)), "mixing")
+    assert sorted((r["doc_id"], r["text"], r["copy"]) for r in mixed.collect()) == sorted((i, after[2][i], k) for i, n in count.items() for k in range(n))
+
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    again = corpus_pipeline.encode_samples(spark, mixed, str(tmp_path)).collect()
+    key = lambda r: (r["doc_id"], r["sample"], list(r["ids"]))
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    found = {}
+    for r in rows:
+        assert r["exact"] and sp.decode(list(r["ids"])).split() == after[2][r["doc_id"]].split()
+        found.setdefault(r["doc_id"], []).append((r["sample"], tuple(r["ids"])))
+    assert {i: len(x) for i, x in found.items()} == {i: n * lattice.SAMPLES for i, n in count.items()}
+    often = [i for i, n in count.items() if n >= 3]
+    assert often and all(len(set(found[i])) > lattice.SAMPLES for i in often)  # copies do not repeat the same samples
