@@ -172,7 +172,7 @@ def frequent_tokens(texts: DataFrame, bits: int, often: int = OFTEN, most: int =
 
 ENTRY = np.dtype([("sig", "<u4"), ("node", "<u8"), ("n", "<i4"), ("seen", "u1")])
 DOC = np.dtype([("doc", "<i8"), ("null", "u1"), ("node", "<u8"), ("n", "<i4"), ("bitmap", "<i8", LONGS)])
-INDEX = "kind int, sig long, node long, n int, doc_id long, bitmap array<long>"
+INDEX = "kind int, sig long, node long, n int, doc_id long, key long, bitmap array<long>"
 
 
 def index(texts: DataFrame, bits: int, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -190,9 +190,8 @@ def index(texts: DataFrame, bits: int, frequent: np.ndarray, percent: int = PERC
         empty, found = _distinct_sets(batch.column(1))
         ids = batch.column(0)
         null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
-        ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         docs = np.zeros(len(ids), DOC)
-        docs["doc"], docs["null"] = ids, null
+        docs["doc"], docs["null"] = batch.column(2).to_numpy(zero_copy_only=False), null
         sig_parts, entry_parts = [], []
         for d, (rows, s) in found.items():
             docs["node"][rows], docs["n"][rows], docs["bitmap"][rows] = d, len(s), bitmap_of(s)
@@ -247,6 +246,7 @@ def index(texts: DataFrame, bits: int, frequent: np.ndarray, percent: int = PERC
             "sig": np.concatenate([sig, np.zeros(m, np.int64)]), "node": np.concatenate([node, docs["node"].copy().view(np.int64)]),
             "n": np.concatenate([n, docs["n"]]),
             "doc_id": pa.array(np.concatenate([np.zeros(k, np.int64), docs["doc"]]), mask=np.concatenate([np.ones(k, bool), docs["null"] > 0])),
+            "key": np.concatenate([np.zeros(k, np.int64), docs["doc"]]),
             "bitmap": bitmap})
 
     return written(map_arrow(texts, cut, _BLOB).groupBy("part").applyInArrow(meet, INDEX), "index")
@@ -270,15 +270,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     are taken from the whole texts once more and intersected.
     """
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("bitmap").alias(f"{x}_map"), F.col("n").alias(f"{x}_n"),
-                                  F.col("doc_id").alias(f"{x}_doc"))
+                                  F.col("key").alias(f"{x}_doc"))
     left = written(pairs.join(side("a"), "a").join(side("b"), "b").where(_close(percent))
                    .select("a", "b", "a_doc", "b_doc"), "close")
     bits = texts.sparkSession.sparkContext.broadcast(
         bit_array(left.select(F.explode(F.array("a_doc", "b_doc")).alias("d")).distinct()))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = batch.column(0)
-        ok = contains(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
+        ok = contains(bits.value, batch.column(2).to_numpy(zero_copy_only=False))
         if not ok.any():
             return None
         _, found = _distinct_sets(batch.column(1).filter(pa.array(ok)))
@@ -333,11 +332,12 @@ def join_components(documents: DataFrame, percent: int = PERCENT, often: int = O
     with_columns_of(documents, "doc_id", "text")
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # where a set's text is found again
     bits = max(1, math.ceil(math.log2(max(2, partitions(spark)))))
     idx = index(texts, bits, frequent_tokens(texts, bits, often, most), percent)
-    docs = idx.where("kind = 1").select("doc_id", "n", "node", "bitmap")
-    nodes = written(docs.where("n > 0 and doc_id is not null").groupBy("node")
-                    .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+    docs = idx.where("kind = 1").select("doc_id", "key", "n", "node", "bitmap")
+    nodes = written(docs.where("n > 0").groupBy("node")
+                    .agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
     entries = idx.where("kind = 0").select("sig", "node", "n")
 
     # each set against the smallest set of its signatures' lists

@@ -151,6 +151,22 @@ def test_ngram_join_cases(docs):
     assert ngram_join.join_components(df.limit(0)).count() == 0
 
 
+def test_ngram_join_links_through_null_ids(docs):
+    """Texts without an id that alone join documents pass the link on."""
+    rng = random.Random(13)
+    pairs = []
+    for k in range(12):
+        w = [rng.choice(WORDS) for _ in range(120)]
+        head = " ".join(w[:105])
+        tail = " ".join(w[15:])
+        pairs += [(100 * k + 1, head), (None, " ".join(w)), (100 * k + 2, tail)]
+    s = word_sets([(i, t) for i, (_, t) in enumerate(pairs)])
+    near = lambda a, b: 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])
+    assert all(near(i, i + 1) and near(i + 1, i + 2) and not near(i, i + 2) for i in range(0, len(pairs), 3))
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.join_components(docs(pairs)).collect())
+    assert got == sorted([(0, 100 * k + 1) for k in range(12)] + [(100 * k + e, 100 * k + 1) for k in range(12) for e in (1, 2)])
+
+
 # -- 4 ------------------------------------------------------------------------------
 
 def test_line_dedup(spark, docs):
