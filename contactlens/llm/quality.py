@@ -2,9 +2,11 @@
 
 Two generative models over hashed n-grams, one of the target (documents
 labelled good) and one of the raw text (all documents), give every document
-the logarithm of its likelihood ratio. Gumbel noise from a hash of the id and
-an exact cut at the k-th largest key sample k documents without replacement
-in proportion to the ratios.
+the mean logarithm of its likelihood ratio per n-gram. Gumbel noise from a hash
+of the id, times TEMPERATURE, and an exact cut at the k-th largest key sample k
+documents without replacement in proportion to exp(mean / TEMPERATURE). At a
+TEMPERATURE of 0.02 that is close to a fixed cut: on sf0.01 the noise decides
+for none of 1,000 documents.
 
 The n-grams are 5-grams of character shapes (letters, capitals and digits are
 one sign each, all other signs stay) and runs of word repetitions (how many
