@@ -39,6 +39,7 @@ _STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # each store would take some MB of disk beforehand
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
