@@ -70,10 +70,10 @@ def _conf(spark: SparkSession, values: dict[str, str]):
                 spark.conf.set(k, v)
 
 
-def _rows(documents: DataFrame, digest: Callable[[Column], Column], *more: Column) -> DataFrame:
+def _rows(documents: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """``(id, file, at, digest)`` of every row read from Parquet files, by file and row number."""
     return documents.select(F.col("doc_id").cast("long").alias("id"), F.col("_metadata.file_path").alias("file"),
-                            F.col("_metadata.row_index").alias("at"), digest(normal(F.col("text"))).alias("digest"), *more)
+                            F.col("_metadata.row_index").alias("at"), digest(normal(F.col("text"))).alias("digest"))
 
 
 def _needed(spark: SparkSession, path: str) -> T.StructType:
@@ -154,6 +154,12 @@ def _with_groups(rows: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFram
     return left.join(right, ["digest", "part"]).drop("part")
 
 
+def _texts(places: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """``(id, file, at, digest, body)`` with the whole normalised text."""
+    return places.select(F.col("doc_id").cast("long").alias("id"), "file", "at", normal(F.col("text")).alias("body")).withColumn(
+        "digest", digest(F.col("body")))
+
+
 def _regrouped(texts: DataFrame) -> DataFrame:
     """The rows of digests that hold several texts, grouped by the whole text."""
     groups = texts.groupBy("digest", "body").agg(F.max(F.struct("id", "file", "at")).alias("keep"), F.count(F.lit(1)).alias("rows"))
@@ -171,17 +177,19 @@ def decide(documents: DataFrame, groups: DataFrame, digest: Callable[[Column], C
     hot = _hot(groups)
     placed = written(_with_groups(_rows(documents, digest), groups, hot), "exact-placed")
     # hits: the whole text of every row against the one at the locator
-    several = groups.where("rows > 1")
-    texts = _maybe_in(_rows(documents, digest, normal(F.col("text")).alias("body")), several, "digest")
     spot = F.xxhash64("file", "at").alias("spot")
-    kept = several.select("digest", F.col("keep.file").alias("file"), F.col("keep.at").alias("at")).select("*", spot)
-    held_text = (_maybe_in(texts.select("*", spot), kept, "spot").join(kept, ["digest", "file", "at", "spot"], "left_semi")
+    places = documents.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), "doc_id", "text")
+    places = places.select("*", spot)
+    texts = _texts(_maybe_in(places, placed.where("rows > 1").select(spot), "spot"), digest)
+    kept = (groups.where("rows > 1").select("digest", F.col("keep.file").alias("file"), F.col("keep.at").alias("at"))
+            .select("*", spot))
+    held_text = (_texts(_maybe_in(places, kept, "spot"), digest).join(kept.drop("spot"), ["digest", "file", "at"], "left_semi")
                  .select("digest", F.col("body").alias("held")))
     unequal = _with_groups(texts, held_text, hot).where(F.col("body") != F.col("held")).select("digest").distinct()
     unequal = written(unequal, "exact-unequal")
     if unequal.isEmpty():
         return placed
-    again = _regrouped(_maybe_in(texts, unequal, "digest").join(unequal, "digest", "left_semi"))
+    again = _regrouped(texts.join(unequal, "digest", "left_semi"))
     return placed.join(unequal, "digest", "left_anti").unionByName(again.select(placed.columns))
 
 
