@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from contactlens.llm import (chat_format, chunk_dedup, cover_tree, embedding_dedup, exact_dedup, lattice, license_scan,
-                             line_dedup, mixing, ngram_join, quality)
+from contactlens.llm import (chat_format, chunk_dedup, cover_tree, divergence, embedding_dedup, exact_dedup, lattice,
+                             license_scan, line_dedup, mixing, ngram_join, quality)
 
 QUERIES = {
     "op1_pstable_near_dedup": embedding_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_lattice_samples": lattice.query,
     "op9_chunk_dedup": chunk_dedup.query,
     "op10_poisson_mixing": mixing.query,
+    "op11_source_divergence": divergence.query,
     "op12_streaming_exact_dedup": exact_dedup.query,
 }
 ORACLE = {
@@ -23,5 +24,6 @@ ORACLE = {
     "op2_cover_tree_top_k": cover_tree.SQL,
     "op7_chat_format": chat_format.SQL,
     "op10_poisson_mixing": mixing.SQL,
+    "op11_source_divergence": divergence.SQL,
     "op12_streaming_exact_dedup": exact_dedup.SQL,
 }
