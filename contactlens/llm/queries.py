@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from contactlens.llm import (chat_format, chunk_dedup, cover_tree, divergence, embedding_dedup, exact_dedup, lattice,
-                             license_scan, line_dedup, mixing, ngram_join, quality)
+from contactlens.llm import (alignment, chat_format, chunk_dedup, cover_tree, divergence, embedding_dedup, exact_dedup,
+                             lattice, license_scan, line_dedup, mixing, ngram_join, quality)
 
 QUERIES = {
     "op1_pstable_near_dedup": embedding_dedup.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_poisson_mixing": mixing.query,
     "op11_source_divergence": divergence.query,
     "op12_streaming_exact_dedup": exact_dedup.query,
+    "op13_token_alignment": alignment.query,
 }
 ORACLE = {
     "op1_pstable_near_dedup": embedding_dedup.SQL,

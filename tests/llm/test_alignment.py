@@ -1,0 +1,137 @@
+"""Cross-tokenizer alignment against whole-text encodings cut by plain byte lengths, and its cases."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+import sentencepiece
+import tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from contactlens.llm import alignment as A
+from contactlens.llm.tokenizers import tokenizer_path
+from conftest import SF0001
+
+BYTE, PIECE = tokenizer_path(A.BYTE_MODEL), tokenizer_path(A.PIECE_MODEL)
+SCHEMA = "doc_id long, text string, row long, pair string, pairs string, a long, docs string"
+
+
+@pytest.fixture(scope="module")
+def models():
+    a = tokenizers.Tokenizer.from_file(BYTE)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=PIECE)
+
+
+@pytest.fixture(scope="module")
+def aligner():
+    return A.Aligner(BYTE, PIECE)
+
+
+def groups(models, text):
+    """Groups of (A ids, B ids) of one text from its whole encodings, [] without tokens."""
+    if not text:
+        return []
+    a, b = models
+    letters = {v: k for k, v in {i: c for c, i in A.byte_alphabet().items()}.items()}
+    a_ids = a.encode(" " + text, add_special_tokens=False).ids
+    a_len = [[letters[c] for c in a.id_to_token(i)] for i in a_ids]
+    b_ids = b.encode(text)
+    b_len = [[int(b.id_to_piece(i)[3:5], 16)] if b.is_byte(i) else list(b.id_to_piece(i).replace("▁", " ").encode()) for i in b_ids]
+    want = list((" " + text).encode())
+    if sum(a_len, []) != want or sum(b_len, []) != want:
+        return []
+    out, i, j, p, q = [], 0, 0, 0, 0
+    while i < len(a_ids) or j < len(b_ids):
+        x, y = [], []
+        while not x or p != q:
+            if p <= q:
+                x.append(a_ids[i])
+                p, i = p + len(a_len[i]), i + 1
+            else:
+                y.append(b_ids[j])
+                q, j = q + len(b_len[j]), j + 1
+        out.append((x, y))
+    return out
+
+
+def expected(models, pairs):
+    found = [(i, groups(models, t)) for i, t in pairs]
+    links = [Counter((x, y) for g in gs for x in g[0] for y in g[1]) for _, gs in found]
+    docs = Counter(p for c in links for p in c)
+    most = defaultdict(int)
+    for (x, _), n in docs.items():
+        most[x] = max(most[x], n)
+    out = []
+    for (i, gs), c in zip(found, links, strict=True):
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in gs)
+        out.append((i, sum(len(x) for x, _ in gs), sum(len(y) for _, y in gs), len(gs), sum(c.values()),
+                    sum(n for p, n in c.items() if docs[p] == most[p[0]]), sum(n * docs[p] for p, n in c.items()),
+                    hashlib.sha256(text.encode()).hexdigest() if gs else ""))
+    return sorted(out, key=repr)
+
+
+def result(spark, pairs, schema=SCHEMA):
+    rows = [(i, t, 7, "p", "q", 1, "d") for i, t in pairs]
+    got = A.align(spark.createDataFrame(rows, schema).repartition(3), BYTE, PIECE)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return sorted(map(tuple, got.collect()), key=repr)
+
+
+CASES = [None, "", " ", "  two  blanks ", "a", "the the the", "Ünïcödé straße", "日本語 と 中文", "emoji \U0001F600\U0001F469‍\U0001F469 x", "line\nbreak\r\n\ttab",
+         "<|endoftext|> and <s> </s> <unk> <0x41>", "under▁score", "nul\x00in", " hard space  em", "a\x1cb \x1c c", "ﬁ ligature ① ½ Å Å",
+         "x" * 3000, "no" * 5000 + " é" * 50, "don't we've I'll", "1234567 89.01", "﻿bom", "𝔘𝔫𝔦 𐍈 ꙮ", "́ combining first", "é e ́", "end "]
+
+
+def test_against_whole_encodings(spark, models):
+    with duckdb.connect() as c:
+        texts = [r[0] for r in c.execute(f"SELECT text FROM '{SF0001}/documents.parquet' ORDER BY doc_id").fetchall()]
+    rng = random.Random(1)
+    pairs = list(enumerate(CASES)) + [(100 + i, t) for i, t in enumerate(texts)]
+    pairs += [(None, "the cat"), (None, "the cat"), (100, "twice the id"), (0, "the cat")] + [(900, "the hot text")] * 100
+    rng.shuffle(pairs)
+    assert result(spark, pairs) == expected(models, pairs)
+
+
+def test_rare_pairs_are_joined_by_a_shuffle(spark, models, monkeypatch):
+    monkeypatch.setattr(A, "FREQUENT", 3)
+    pairs = [(i, t) for i, t in enumerate(CASES)] + [(50 + i, "the cat sat") for i in range(20)]
+    assert result(spark, pairs) == expected(models, pairs)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t  ab'sé日<|>▁  \x1c0"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_units_give_what_whole_texts_give(aligner, models, text):
+    got = aligner.document(text)
+    want = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups(models, text))
+    assert (got.text if got else "") == want
+
+
+def test_text_without_cuts_is_one_unit(aligner, models):
+    assert aligner.separable
+    text = "some words, with é and 日本\U0001F600 "
+    whole = A.Aligner(BYTE, PIECE)
+    whole.separable = False
+    assert whole.units(text) == [text] and len(aligner.units(text)) == 6
+    assert whole.document(text).text == aligner.document(text).text
+
+
+def test_kept_units_are_bounded(monkeypatch):
+    monkeypatch.setattr(A, "KEPT_UNITS", 5)
+    own = A.Aligner(BYTE, PIECE)
+    whole = own.document(" ".join(f"w{i}" for i in range(50)))
+    assert len(own.seen) <= 5 and whole.groups >= 50
+
+
+def test_alignment_table(spark, models):
+    pairs = [(1, "the cat"), (2, "the dog"), (3, "the the")]
+    table = {(r["a"], r["b"]): (r["docs"], r["best"]) for r in A.alignment_table(spark.createDataFrame(pairs, "doc_id long, text string"), BYTE, PIECE).collect()}
+    x, y = groups(models, "the cat")[0]
+    assert table[x[0], y[0]] == (3, True)
+
+
+def test_empty_table(spark):
+    assert A.align(spark.createDataFrame([], SCHEMA), BYTE, PIECE).count() == 0
