@@ -14,8 +14,8 @@ text. B's spans are those of the library's offset mapping; the immutable proto
 that carried them before is gone from it.
 
 Neither tokenizer joins characters across a single space between two
-characters that are no white space, so a text is cut there and each unit is
-aligned once per task (bounded memory); a text without such spaces is one unit.
+characters that are no white space, so texts are cut there and the distinct
+units of some megabytes of texts are aligned at once; a text without such spaces is one unit.
 Models for which this cannot be shown take each text as one unit.
 
 Counting and scoring are joins on the pair. Pairs in more than one row of 2**18
@@ -25,10 +25,11 @@ are fewer than 2**18, so they are broadcast; the others are shuffled.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,12 @@ from contactlens.llm.common import with_columns_of, written
 from contactlens.llm.tokenizers import tokenizer_path
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: units up to this many characters are kept, as many per task before it starts anew
-KEPT_CHARS, KEPT_UNITS = 64, 200_000
+#: characters of texts whose distinct units are aligned together (one text is never cut), and of units encoded as one text
+SLICE, LINE = 12_000_000, 4_000
+#: characters given to the libraries at once, and pairs of texts added up at once (whole texts)
+AT_ONCE, PAIRS = 200_000, 500_000
+#: links of a group from which on they are counted by its distinct ids
+LARGE = 1 << 14
 #: pairs in more than total / 2**FREQUENT rows are broadcast: fewer than 2**FREQUENT rows of 24 bytes
 FREQUENT = 18
 #: factor of the A id in a pair's number
@@ -58,13 +63,36 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Aligned:
-    """One unit's alignment."""
+class Units:
+    """Alignments of many units: per unit its tokens of A and B, groups and links, its groups as text, and its linked pairs.
+
+    ``pairs[first[i]:first[i + 1]]`` are unit i's distinct pairs, sorted, and
+    ``times`` their links. A unit that one side does not give back byte for
+    byte has ``ok`` false.
+    """
+
+    __slots__ = ("ok", "numbers", "text", "pairs", "times", "first")
+
+    def __init__(self, ok: np.ndarray, numbers: np.ndarray, text: list[str], pairs: np.ndarray, times: np.ndarray, first: np.ndarray):
+        self.ok, self.numbers, self.text, self.pairs, self.times, self.first = ok, numbers, text, pairs, times, first
 
-    __slots__ = ("a", "b", "groups", "links", "pairs", "times", "text")
 
-    def __init__(self, a, b, groups, links, pairs, times, text):
-        self.a, self.b, self.groups, self.links, self.pairs, self.times, self.text = a, b, groups, links, pairs, times, text
+def _summed(owner: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (owner, pair) in order, with the sums of ``times``."""
+    if not len(pair):
+        return owner, pair, times
+    known, place = np.unique(pair, return_inverse=True)
+    order = np.argsort(owner * len(known) + place, kind="stable")
+    key = (owner * len(known) + place)[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key = key[first]
+    return key // len(known), known[key % len(known)], np.add.reduceat(times[order], first)
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i], start[i] + 1, ... (size[i] of them) for all i in one array."""
+    total = np.cumsum(size)
+    return np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)
 
 
 class Aligner:
@@ -75,11 +103,16 @@ class Aligner:
         self.A.encode_special_tokens = True  # special tokens' strings in a text are plain text
         self.B = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         letters = byte_alphabet()
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-                        for t, i in self.A.get_vocab(with_added_tokens=False).items()}
+        vocabulary = self.A.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in self.A.get_vocab(with_added_tokens=False).items():
+            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         self.b_bytes = [self._piece(i) for i in range(self.B.get_piece_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        n = max(len(self.a_bytes), len(self.b_bytes))
+        # an id's decimal text with what follows it: another token of its side, the other side, another group
+        self.written = [np.array([f"{i}{c}" for i in range(n)], object) for c in ",|;"]
         self.separable = self._separable()
-        self.seen: dict[str, Aligned | None] = {}
 
     def _piece(self, i: int) -> bytes:
         if self.B.is_byte(i):
@@ -92,90 +125,155 @@ class Aligner:
         a = self.A.normalizer is None and isinstance(pre, tokenizers.pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
         # pieces with a space behind another character could be merged over the cut; normalisers could look over it
         b = all(" " not in p.decode("utf-8", "replace").lstrip(" ") for p in self.b_bytes)
-        probe = "ﬁ x ① ½ é  Å"
+        probe = "ﬁ x ① ½ é  Å"
         return a and b and self.B.normalize(probe).replace("▁", " ").lstrip(" ") == probe
 
-    def units(self, text: str) -> list[str]:
-        """The texts between the cuts; each stands behind a space."""
+    def cut(self, text: str) -> list[str]:
+        """The units between the cuts; each stands behind a space."""
         return _CUT.split(text) if self.separable else [text]
 
-    def align(self, unit: str) -> Aligned | None:
-        """The alignment of space+unit, None if one side's bytes are others."""
-        data = unit.encode()
-        byte_of = np.zeros(len(unit) + 1, np.int64)  # where each character of the unit begins
-        if len(data) == len(unit):
-            byte_of[:] = np.arange(len(unit) + 1)
-        else:
-            points = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
-            np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF), out=byte_of[1:])
-        data = b" " + data
-
-        got = self.A.encode(" " + unit, add_special_tokens=False)
-        a_ids = got.ids
-        a_bytes = [self.a_bytes[i] for i in a_ids]
-        if b"".join(a_bytes) != data:
-            return None
-        spans = np.array(got.offsets, np.int64).reshape(-1, 2)
-        a_ends = _ends(spans, a_bytes, np.concatenate([[0], byte_of + 1]))  # character 0 is the space
-
-        got = self.B.encode(unit, return_type="offset_mapping")
-        b_ids = got["ids"]
-        b_bytes = [self.b_bytes[i] for i in b_ids]
-        if b"".join(b_bytes) != data:
-            return None
-        b_ends = _ends(np.array(got["offsets"], np.int64).reshape(-1, 2), b_bytes, byte_of + 1)
-
-        cuts = np.intersect1d(a_ends, b_ends)
-        a_cut, b_cut = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
-        a_n, b_n = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
-        text, pairs, i, j = [], Counter(), 0, 0
-        for p, q in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-            x, y = a_ids[i:p], b_ids[j:q]
-            text.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-            xs, ys = Counter(x), Counter(y)
-            for u, m in xs.items():
-                for v, n in ys.items():
-                    pairs[u * WIDE + v] += m * n
-            i, j = p, q
-        return Aligned(len(a_ids), len(b_ids), len(cuts), int((a_n * b_n).sum()), np.fromiter(pairs, np.int64, len(pairs)),
-                       np.fromiter(pairs.values(), np.int64, len(pairs)), ";".join(text))
-
-    def unit(self, unit: str) -> Aligned | None:
-        if len(unit) > KEPT_CHARS:
-            return self.align(unit)
-        if unit not in self.seen:
-            if len(self.seen) >= KEPT_UNITS:
-                self.seen.clear()
-            self.seen[unit] = self.align(unit)
-        return self.seen[unit]
-
-    def document(self, text: str | None) -> Aligned | None:
-        """The alignment of a whole text; None for one without tokens."""
-        if not text:
-            return None
-        units = self.units(text)
-        found = {u: self.unit(u) for u in set(units)}
-        if None in found.values():
-            return None
-        times = Counter(units)
-        own = [(found[u], n) for u, n in times.items()]
-        pairs = np.concatenate([x.pairs for x, _ in own])
-        count = np.concatenate([x.times * n for x, n in own])
-        order = np.argsort(pairs, kind="stable")
-        pairs, count = pairs[order], count[order]
-        first = np.flatnonzero(np.diff(pairs, prepend=pairs[0] - 1))
-        total = [sum(getattr(x, c) * n for x, n in own) for c in ("a", "b", "groups", "links")]
-        return Aligned(*total, pairs[first], np.add.reduceat(count, first), ";".join([found[u].text for u in units]))
-
-
-def _ends(spans: np.ndarray, token_bytes: list[bytes], byte_of: np.ndarray) -> np.ndarray:
+    def _lines(self, units: list[str]) -> list[list[int]]:
+        """Units (by number) that are encoded as one text, joined by single spaces."""
+        lines, line, size = [], [], 0
+        for i, u in enumerate(units):
+            if not self.separable or not u or len(u.strip()) < len(u) or len(u) > LINE:
+                lines.append([i])
+                continue
+            line.append(i)
+            size += len(u)
+            if size > LINE:
+                lines.append(line)
+                line, size = [], 0
+        return [*lines, line] if line else lines
+
+    def _encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
+        """Per text: ids and byte ends of A's tokens and of B's in space+text; None if one side's bytes are others."""
+        out, at, size = [], 0, 0
+        for k, t in enumerate(texts):  # the libraries' own objects take some 300 bytes a token
+            size += len(t)
+            if size > AT_ONCE or k + 1 == len(texts):
+                out += self._spans(texts[at:k + 1])
+                at, size = k + 1, 0
+        return out
+
+    def _spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
+        out = []
+        pieces = self.B.encode(texts, return_type="offset_mapping", num_threads=1)
+        for text, x, y in zip(texts, self.A.encode_batch([" " + t for t in texts], add_special_tokens=False), pieces, strict=True):
+            data, a, b = b" " + text.encode(), x.ids, y["ids"]
+            if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+                out.append(None)
+                continue
+            byte_of = _byte_places(text)
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            a_spans, b_spans = (np.fromiter(chain.from_iterable(s), np.int64, 2 * len(s)).reshape(-1, 2) for s in (x.offsets, y["offsets"]))
+            out.append((a, _ends(a_spans, self.a_size[a], np.concatenate([[0], byte_of + 1])),  # A's character 0 is the space
+                        b, _ends(b_spans, self.b_size[b], byte_of + 1)))
+        return out
+
+    def units(self, units: list[str]) -> Units:
+        """The alignments of space+unit for all ``units``."""
+        lines = self._lines(units)
+        got = self._encoded([" ".join([units[i] for i in line]) for line in lines])
+        # one of a line's units is not given back: each of them is encoded alone
+        again = [[i] for line, x in zip(lines, got, strict=True) if x is None and len(line) > 1 for i in line]
+        found = [(line, x) for line, x in zip(lines, got, strict=True) if x is not None]
+        found += [(line, x) for line, x in zip(again, self._encoded([units[i] for [i] in again]) if again else [], strict=True) if x is not None]
+
+        n = len(units)
+        ok, numbers, text = np.zeros(n, bool), np.zeros((4, n), np.int64), [""] * n
+        if not found:
+            return Units(ok, numbers, text, *(np.zeros(0, np.int64),) * 2, np.zeros(n + 1, np.int64))
+        # all lines as one run of bytes; `order` are the units as they stand in it
+        order = np.concatenate([line for line, _ in found])
+        unit_ends = np.cumsum([1 + len(units[i].encode()) for i in order])
+        base = np.concatenate([[0], unit_ends[np.cumsum([len(line) for line, _ in found]) - 1][:-1]])
+        a, b = (np.concatenate([x[k] for _, x in found]) for k in (0, 2))
+        a_ends, b_ends = (np.concatenate([x[k] + s for (_, x), s in zip(found, base, strict=True)]) for k in (1, 3))
+
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_to, b_to = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
+        a_n, b_n = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        unit_of = np.searchsorted(unit_ends, cuts)  # of each group
+        whole = np.searchsorted(cuts, unit_ends, "right")  # groups up to each unit's end
+        ok[order] = True
+        for k, x in enumerate((a_n, b_n, np.ones(len(cuts), np.int64), a_n * b_n)):
+            numbers[k, order] = np.diff(np.concatenate([[0], np.cumsum(x)])[whole], prepend=0)
+
+        # groups as text: A's tokens, then B's, each with what follows
+        group_a, group_b = np.repeat(np.arange(len(cuts)), a_n), np.repeat(np.arange(len(cuts)), b_n)
+        tokens = np.empty(len(a) + len(b), object)
+        last = np.zeros(len(a), np.int64)
+        last[a_to - 1] = 1
+        b_before = np.concatenate([[0], b_to])
+        tokens[np.arange(len(a)) + b_before[group_a]] = np.where(last, self.written[1][a], self.written[0][a])
+        last = np.zeros(len(b), np.int64)
+        last[b_to - 1] = 1
+        tokens[np.arange(len(b)) + a_to[group_b]] = np.where(last, self.written[2][b], self.written[0][b])
+        tokens, at = tokens.tolist(), 0
+        upto = np.concatenate([[0], a_to + b_to])[whole]
+        for i, to in zip(order.tolist(), upto.tolist(), strict=True):
+            text[i] = "".join(tokens[at:to])[:-1]
+            at = to
+
+        owner, pair, times = [], [], []
+        large = a_n * b_n > LARGE
+        small = ~large[group_a]
+        size = b_n[group_a[small]]
+        owner.append(np.repeat(unit_of[group_a[small]], size))
+        pair.append(np.repeat(a[small] * WIDE, size) + b[_runs((b_to - b_n)[group_a[small]], size)])
+        times.append(np.ones(len(pair[0]), np.int64))
+        for g in np.flatnonzero(large):  # by the distinct ids of each side
+            (x, m), (y, k) = (np.unique(t[to[g] - c[g]:to[g]], return_counts=True) for t, to, c in ((a, a_to, a_n), (b, b_to, b_n)))
+            pair.append((x[:, None] * WIDE + y[None, :]).ravel())
+            times.append((m[:, None] * k[None, :]).ravel())
+            owner.append(np.full(len(pair[-1]), unit_of[g]))
+        owner, pair, times = _summed(order[np.concatenate(owner)], np.concatenate(pair), np.concatenate(times))
+        return Units(ok, numbers, text, pair, times, np.searchsorted(owner, np.arange(n + 1)))
+
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers (A tokens, B tokens, groups, links) per text, its groups as text, and its pairs as in ``Units``."""
+        place: dict[str, int] = {}
+        rows = [[place.setdefault(u, len(place)) for u in self.cut(t)] if t else [] for t in texts]
+        units = self.units(list(place))
+        rows = [np.array(r, np.int64) for r in rows]
+        rows = [r if units.ok[r].all() else r[:0] for r in rows]
+        size = np.array([len(r) for r in rows], np.int64)
+        flat, doc = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), size)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        total = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(units.numbers[:, flat], axis=1)], axis=1)[:, upto]
+        text = [";".join([units.text[u] for u in r.tolist()]) for r in rows]
+        # a unit that a text holds several times counts at once
+        doc, unit, copies = _summed(doc, flat, np.ones(len(flat), np.int64))
+        count = units.first[unit + 1] - units.first[unit]
+        parts = [(np.zeros(0, np.int64),) * 3]
+        upto = np.cumsum(count)
+        i = 0
+        while i < len(doc):  # some texts at a time, whole ones
+            j = max(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS), i + 1)
+            j = np.searchsorted(doc, doc[j - 1], "right")
+            at = _runs(units.first[unit[i:j]], count[i:j])
+            parts.append(_summed(np.repeat(doc[i:j], count[i:j]), units.pairs[at], units.times[at] * np.repeat(copies[i:j], count[i:j])))
+            i = j
+        doc, pairs, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return np.diff(total, axis=1), text, pairs, times, np.searchsorted(doc, np.arange(len(rows) + 1))
+
+
+def _byte_places(text: str) -> np.ndarray:
+    """Where each character of the text begins in its UTF-8 form, and its end."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
+
+
+def _ends(spans: np.ndarray, size: np.ndarray, byte_of: np.ndarray) -> np.ndarray:
     """Byte ends of tokens: of those that end with a character by its place, of others by the bytes since the last such.
 
     A token ends with its span's last character if the next one begins there or
     later; else more tokens of that character follow. Of a character's byte
     fallbacks only the last has a span that is not empty.
     """
-    size = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
     coarse = spans[:, 1] > spans[:, 0]
     coarse[:-1] &= spans[1:, 0] >= spans[:-1, 1]
     ends = byte_of[spans[:, 1]]
@@ -189,6 +287,7 @@ def _ends(spans: np.ndarray, token_bytes: list[bytes], byte_of: np.ndarray) -> n
 
 @lru_cache(maxsize=2)
 def _aligner(byte_model: str, piece_model: str) -> Aligner:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     return Aligner(byte_model, piece_model)
 
 
@@ -199,23 +298,21 @@ def _encode(byte_model: str, piece_model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_model, piece_model)
         for batch in batches:
-            rows, at = [], 0
-            ids, texts = batch.column(0), batch.column(1)
-            for k in range(batch.num_rows):
-                rows.append(aligner.document(texts[k].as_py()))
-                if k + 1 == batch.num_rows or sum(len(r.pairs) for r in rows[-1:] if r) > 50_000 or len(rows) == 512:
-                    yield _batch(ids.slice(at, len(rows)), rows)
-                    rows, at = [], k + 1
+            texts = batch.column(1).to_pylist()
+            at, size = 0, 0
+            for k, t in enumerate(texts):
+                size += len(t or "")
+                if size > SLICE or k + 1 == len(texts):
+                    yield _batch(batch.column(0).slice(at, k + 1 - at), aligner.documents(texts[at:k + 1]))
+                    at, size = k + 1, 0
     return run
 
 
-def _batch(ids: pa.Array, rows: list[Aligned | None]) -> pa.RecordBatch:
-    number = lambda c: pa.array([getattr(r, c) if r else 0 for r in rows], pa.int64())
-    sha = [hashlib.sha256(r.text.encode()).hexdigest() if r else "" for r in rows]
-    offsets = pa.array(np.cumsum([0] + [len(r.pairs) if r else 0 for r in rows]), pa.int32())
-    flat = lambda c: pa.ListArray.from_arrays(offsets, pa.array(
-        np.concatenate([getattr(r, c) for r in rows if r] or [np.zeros(0, np.int64)]), pa.int64()))
-    return pa.RecordBatch.from_arrays([ids, *map(number, ("a", "b", "groups", "links")), pa.array(sha, pa.string()), flat("pairs"), flat("times")],
+def _batch(ids: pa.Array, found: tuple) -> pa.RecordBatch:
+    numbers, text, pairs, times, first = found
+    sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in text]
+    flat = lambda x: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in numbers), pa.array(sha, pa.string()), flat(pairs), flat(times)],
                                       names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
 

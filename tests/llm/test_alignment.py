@@ -5,6 +5,8 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -102,28 +104,55 @@ def test_rare_pairs_are_joined_by_a_shuffle(spark, models, monkeypatch):
     assert result(spark, pairs) == expected(models, pairs)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t  ab'sé日<|>▁  \x1c0"), st.characters(exclude_categories=["Cs"])), max_size=40))
-def test_units_give_what_whole_texts_give(aligner, models, text):
-    got = aligner.document(text)
-    want = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups(models, text))
-    assert (got.text if got else "") == want
+ALPHABET = st.text(alphabet=st.one_of(st.sampled_from(" \n\t  ab'sé日<|>▁\u2003\x1c0"), st.characters(exclude_categories=["Cs"])), max_size=40)
 
 
-def test_text_without_cuts_is_one_unit(aligner, models):
-    assert aligner.separable
+def written(gs):
+    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in gs)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(ALPHABET, min_size=1, max_size=6))
+def test_units_give_what_whole_texts_give(aligner, models, texts):
+    numbers, got, pairs, times, first = aligner.documents(texts)
+    for i, t in enumerate(texts):
+        gs = groups(models, t)
+        links = Counter(x * A.WIDE + y for g in gs for x in g[0] for y in g[1])
+        assert got[i] == written(gs)
+        assert numbers[:, i].tolist() == [sum(len(x) for x, _ in gs), sum(len(y) for _, y in gs), len(gs), sum(links.values())]
+        assert dict(zip(pairs[first[i]:first[i + 1]].tolist(), times[first[i]:first[i + 1]].tolist(), strict=True)) == links
+
+
+def test_models_that_may_cross_spaces_take_whole_texts(aligner):
     text = "some words, with é and 日本\U0001F600 "
     whole = A.Aligner(BYTE, PIECE)
+    assert aligner.separable and len(aligner.cut(text)) == 6
     whole.separable = False
-    assert whole.units(text) == [text] and len(aligner.units(text)) == 6
-    assert whole.document(text).text == aligner.document(text).text
-
-
-def test_kept_units_are_bounded(monkeypatch):
-    monkeypatch.setattr(A, "KEPT_UNITS", 5)
-    own = A.Aligner(BYTE, PIECE)
-    whole = own.document(" ".join(f"w{i}" for i in range(50)))
-    assert len(own.seen) <= 5 and whole.groups >= 50
+    assert whole.cut(text) == [text]
+    assert whole.documents([text, None, "x"])[1] == aligner.documents([text, None, "x"])[1]
+
+
+def test_groups_of_many_tokens(aligner, models, monkeypatch):
+    """Where the two never end together the links are counted by distinct ids, with the same result."""
+    texts = ["日" * 40, "x" * 500, "ab" * 300 + " the cat"]
+    small = aligner.documents(texts)
+    monkeypatch.setattr(A, "LARGE", 2)
+    large = aligner.documents(texts)
+    assert all((np.asarray(x) == np.asarray(y)).all() for x, y in zip(small, large, strict=True))
+    assert small[1] == [written(groups(models, t)) for t in texts]
+
+
+def test_slices_of_texts(spark, models, monkeypatch):
+    pairs = [(i, t) for i, t in enumerate(CASES)]
+    monkeypatch.setattr(A, "SLICE", 30)
+    monkeypatch.setattr(A, "LINE", 20)
+    monkeypatch.setattr(A, "AT_ONCE", 10)
+    monkeypatch.setattr(A, "PAIRS", 5)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in pairs], "text": [t for _, t in pairs]})
+    got = [r for b in A._encode(BYTE, PIECE)(iter([batch])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == [i for i, _ in pairs]
+    assert [r["groups_sha256"] for r in got] == [hashlib.sha256(written(groups(models, t)).encode()).hexdigest() if groups(models, t) else ""
+                                                 for _, t in pairs]
 
 
 def test_alignment_table(spark, models):
