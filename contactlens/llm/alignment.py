@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,8 @@ from contactlens.llm.common import with_columns_of, written
 from contactlens.llm.tokenizers import tokenizer_path
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: characters of texts whose distinct units are aligned together (one text is never cut), and of units encoded as one text
-SLICE, LINE = 12_000_000, 4_000
+#: bytes of texts whose distinct units are aligned together (one text is never cut), and characters of units encoded as one text
+SLICE, LINE = 4_000_000, 4_000
 #: characters given to the libraries at once, and pairs of texts added up at once (whole texts)
 AT_ONCE, PAIRS = 200_000, 500_000
 #: links of a group from which on they are counted by its distinct ids
@@ -298,12 +299,12 @@ def _encode(byte_model: str, piece_model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_model, piece_model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             at, size = 0, 0
-            for k, t in enumerate(texts):
-                size += len(t or "")
-                if size > SLICE or k + 1 == len(texts):
-                    yield _batch(batch.column(0).slice(at, k + 1 - at), aligner.documents(texts[at:k + 1]))
+            for k, n in enumerate(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+                size += n
+                if size > SLICE or k + 1 == batch.num_rows:
+                    part = batch.slice(at, k + 1 - at)
+                    yield _batch(part.column(0), aligner.documents(part.column(1).to_pylist()))
                     at, size = k + 1, 0
     return run
 
