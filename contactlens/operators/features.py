@@ -12,6 +12,7 @@ input.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -223,6 +224,56 @@ def transform_columns(enc: Encoding) -> list[str]:
     return [*g["binary"], *onehot, *g["ordinal"], *S.CYCLIC_FEATURES, *g["numeric"]]
 
 
+def _sql_number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_position(column: str, order: Sequence[str]) -> str:
+    cases = " ".join(f"WHEN {column} = {_sql_text(v)} THEN {i}D" for i, v in enumerate(order))
+    return f"CASE {cases} END"
+
+
+def contact_sql(enc: Encoding) -> dict[str, str]:
+    """Every encoded feature as a SQL expression over the raw contact columns, in the encoding's order.
+
+    The same values as preparing and encoding the contact. What has no place
+    in the encoding (an education that is not in the order, an age under 18, a month or a
+    yes/no value of another kind, a null number) is NULL; an unseen or NULL
+    one-hot category is 0 in all its columns.
+    """
+    g = feature_groups(enc.options)
+    out: dict[str, str] = {}
+    for c in g["binary"]:
+        out[c] = ("CASE WHEN `pdays` = -1 THEN 0D ELSE 1D END" if c == "pdays_contact"
+                  else f"CASE WHEN `{c}` = 'yes' THEN 1D WHEN `{c}` = 'no' THEN 0D END")
+    for c in g["onehot"]:
+        for v in enc.categories[c]:
+            out[onehot_name(c, v)] = f"COALESCE(CAST(`{c}` = {_sql_text(v)} AS DOUBLE), 0D)"
+    education = "`education`"
+    if enc.education_mode is not None:
+        education = f"CASE WHEN `education` = 'unknown' THEN {_sql_text(enc.education_mode)} ELSE `education` END"
+    out["education"] = _sql_position(f"({education})", S.EDUCATION_ORDER)
+    if enc.options.bin_age:
+        edges = [*S.AGE_EDGES, None]
+        bins = " ".join(f"WHEN `age` >= {lo}" + (f" AND `age` < {hi}" if hi is not None else "") + f" THEN {i}D"
+                        for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
+        out["age_cat"] = f"CASE {bins} END"
+    month = "CASE " + " ".join(f"WHEN `month` = '{m}' THEN {i + 1}" for i, m in enumerate(S.MONTHS)) + " END"
+    for c, x, period in (("day", "`day`", 31), ("month", f"({month})", 12)):
+        angle = f"{_sql_number(2 * math.pi)} * {x} / {period}D"
+        out[f"{c}_sin"], out[f"{c}_cos"] = f"SIN({angle})", f"COS({angle})"
+    for c in g["numeric"]:
+        center, spread = enc.numeric[c]
+        x = "(CASE WHEN `pdays` = -1 THEN 0 ELSE `pdays` END)" if c == "pdays_days" else f"`{c}`"
+        x = f"(CAST({x} AS DOUBLE) - {_sql_number(center)})"
+        out[c] = f"{x} / {_sql_number(spread)}" if spread else x
+    return {c: out[c] for c in transform_columns(enc)}
+
+
 def apply_encoding(df: DataFrame, enc: Encoding, target: str = S.TARGET,
                    keep: Sequence[str] = ("row_id", "is_test"), handle_invalid: str = "error") -> DataFrame:
     """``keep`` columns, ``label`` and the feature columns, in the source's column order."""

@@ -6,6 +6,7 @@ Each query starts from the contact table derived from the warehouse tables
 
 from __future__ import annotations
 
+import functools
 import threading
 import uuid
 from collections.abc import Callable
@@ -685,6 +686,7 @@ _FITTED: dict[tuple, object] = {}
 
 
 _ENCODED: dict[tuple, object] = {}
+_ENCODED_STATE: dict[tuple, FE.Encoding] = {}
 
 
 def encoded_table(spark, sf, with_duration: bool = False):
@@ -697,7 +699,7 @@ def encoded_table(spark, sf, with_duration: bool = False):
     key = _state_key(spark, sf)
     with _FIT_LOCK:
         if key not in _ENCODED:
-            _ENCODED[key] = PP.preprocess_and_transform(campaign(spark, sf))[0]
+            _ENCODED[key], _ENCODED_STATE[key] = PP.preprocess_and_transform(campaign(spark, sf))
     enc = _ENCODED[key]
     return enc if with_duration else PP.remove_duration(enc)
 
@@ -731,15 +733,50 @@ def _train_gbt_leafwise(spark, sf):
     return _metrics_of(spark, sf, "gbt_leafwise")
 
 
+PRESET_MODELS = ("random_forest", "gbt_depthwise", "gbt_leafwise")
+
+
+def contact_model(spark, sf, preset: str = "random_forest"):
+    """The preset's classifier behind the fitted encoding: from raw contacts to scores."""
+    model = fitted(spark, sf, preset)
+    return M.contact_model(_ENCODED_STATE[_state_key(spark, sf)], model)
+
+
 @register("score_batch")
 def _score_batch(spark, sf):
-    enc = encoded_table(spark, sf)
-    return M.score_batch(fitted(spark, sf, "random_forest"), enc.where(F.col("is_test")))
+    return M.score_batch(contact_model(spark, sf), _test_contacts(spark, sf))
+
+
+def _test_contacts(spark, sf):
+    """The raw contacts of the test part."""
+    return FE.train_test_split(campaign(spark, sf)).where(F.col("is_test")).drop("is_test")
+
+
+@register("score_raw_contacts", with_campaign(f"SELECT row_id, true AS same FROM campaign WHERE {SPLIT_SQL}"))
+def _score_raw_contacts(spark, sf):
+    """A raw contact's score equals that of its encoded row."""
+    encoded = M.score_batch(fitted(spark, sf, "random_forest"), encoded_table(spark, sf).where(F.col("is_test")))
+    return _same_scores(M.score_batch(contact_model(spark, sf), _test_contacts(spark, sf)), encoded)
+
+
+def _same_scores(a, b):
+    b = b.select("row_id", F.col("probability").alias("p2"), F.col("prediction").alias("c2"))
+    same = F.col("probability").eqNullSafe(F.col("p2")) & F.col("prediction").eqNullSafe(F.col("c2"))
+    return a.join(b, "row_id").select("row_id", same.alias("same"))
 
 
 @register("feature_importances")
 def _feature_importances(spark, sf):
-    return M.feature_importances(fitted(spark, sf, "random_forest"))
+    """Three definitions for each of the three models."""
+    parts = [M.feature_importances(fitted(spark, sf, m), kind).select(F.lit(m).alias("model"), F.lit(kind).alias("kind"), "*")
+             for m in PRESET_MODELS for kind in M.IMPORTANCES]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@register("compare_trained_models")
+def _compare_trained_models(spark, sf):
+    """The comparison table of the three trained models."""
+    return EV.compare_models({m: M.evaluate_model(fitted(spark, sf, m), encoded_table(spark, sf)) for m in PRESET_MODELS})
 
 
 @register("feature_ablation")
@@ -754,7 +791,7 @@ def _model_path(spark, sf, preset: str) -> str:
 
 @register("save_model")
 def _save_model(spark, sf):
-    path = M.save_model(fitted(spark, sf, "random_forest"), _model_path(spark, sf, "random_forest"))
+    path = M.save_model(contact_model(spark, sf), _model_path(spark, sf, "random_forest"))
     # the saved stage metadata, read back from the written folder
     return (spark.read.json(f"{path}/stages/*/metadata")
             .select(F.col("class").alias("stage_class"), F.col("uid").alias("stage_uid"), "sparkVersion"))
@@ -762,15 +799,15 @@ def _save_model(spark, sf):
 
 @register("load_model", with_campaign(f"SELECT row_id, true AS same FROM campaign WHERE {SPLIT_SQL}"))
 def _load_model(spark, sf):
+    """A loaded model scores raw contacts as written down before it was saved."""
     missing = M.load_model(f"{scratch_dir(spark)}/contactlens/models/does-not-exist")
     if missing is not None:
         raise AssertionError("a missing model must load as None")
-    own = fitted(spark, sf, "random_forest")
-    model = M.load_model(M.save_model(own, f"{_model_path(spark, sf, 'random_forest')}-{uuid.uuid4().hex[:12]}"))
-    test = encoded_table(spark, sf).where(F.col("is_test"))
-    a = M.score_batch(own, test).select("row_id", "probability", "prediction")
-    b = M.score_batch(model, test).select("row_id", F.col("probability").alias("p2"), F.col("prediction").alias("c2"))
-    return a.join(b, "row_id").select("row_id", ((F.col("probability") == F.col("p2")) & (F.col("prediction") == F.col("c2"))).alias("same"))
+    path = f"{_model_path(spark, sf, 'random_forest')}-{uuid.uuid4().hex[:12]}"
+    test = _test_contacts(spark, sf)
+    M.score_batch(contact_model(spark, sf), test).write.parquet(f"{path}-scores")
+    model = M.load_model(M.save_model(contact_model(spark, sf), path))
+    return _same_scores(M.score_batch(model, test), spark.read.parquet(f"{path}-scores"))
 
 
 @register("model_bakeoff")
