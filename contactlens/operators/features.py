@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlens.functions import expressions as X
+from contactlens.functions.quantiles import continuous
+from contactlens.functions.selection import select_quantiles
 from contactlens.sources import schema as S
 
 MAX_CATEGORIES = 10_000  # per one-hot column; more is not a categorical feature
@@ -156,7 +158,10 @@ def fit_encoding(train: DataFrame, options: Options | None = None,
     num = (train.select(*[X.col(c).cast("double").alias(c) for c in g["numeric"]])
            .unpivot([], g["numeric"], "variable", "value").where(F.col("value").isNotNull()))
     if o.scaler == "robust":
-        if o.exact_quantiles:
+        if o.exact_quantiles and continuous(train, g["numeric"]):
+            qtab = (select_quantiles(num, "value", [0.25, 0.5, 0.75], ["variable"], ["a", "b", "c"])
+                    .select("variable", F.array("a", "b", "c").alias("q")))
+        elif o.exact_quantiles:
             q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt"))
             qtab = (num.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
                     .groupBy("variable").agg(q.alias("q")))

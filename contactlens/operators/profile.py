@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlens.functions import expressions as X
+from contactlens.functions.quantiles import continuous
+from contactlens.functions.selection import select_quantiles
 from contactlens.sources import schema as S
 
 ID = "row_id"
@@ -52,6 +54,13 @@ def profile_describe(df: DataFrame, columns: Sequence[str] = S.DESCRIBE_COLUMNS,
         std = F.round("std", std_digits) if std_digits is not None else F.col("std")
         return approx.select("variable", "count", "mean", std.alias("std"), "min",
                              F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    if continuous(df, columns):
+        quartiles = select_quantiles(long, "value", [0.25, 0.5, 0.75], ["variable"], ["p25", "p50", "p75"])
+        rest = long.groupBy("variable").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                            F.min("value").alias("min"), F.max("value").alias("max"))
+        std = F.round("std", std_digits) if std_digits is not None else F.col("std")
+        return (rest.join(quartiles, "variable")
+                .select("variable", "count", "mean", std.alias("std"), "min", "p25", "p50", "p75", "max"))
     vc = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
     # the mean rides along as a window aggregate over the value-count rows of
     # the same variable, so the centred variance needs no second pass

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlens.functions import expressions as X
-from contactlens.functions.quantiles import value_counts
+from contactlens.functions.quantiles import continuous, value_counts
+from contactlens.functions.selection import select_quantiles
 from contactlens.sources import schema as S
 
 
@@ -56,6 +57,13 @@ def median_by_target(df: DataFrame, value, target: str = S.TARGET, exact: bool =
             F.percentile_approx(v, 0.5, accuracy).cast("double").alias("median_all"),
             F.percentile_approx(F.when(t == S.POSITIVE, v), 0.5, accuracy).cast("double").alias("median_yes"),
             F.percentile_approx(F.when(t == S.NEGATIVE, v), 0.5, accuracy).cast("double").alias("median_no"))
+    v = F.col(value) if isinstance(value, str) else value
+    pairs = df.select(X.col(target).alias(target), v.alias("value"))
+    if continuous(pairs, ["value"], [target]):
+        own = F.when(F.col(target).isin(S.POSITIVE, S.NEGATIVE), F.array(F.lit("all"), F.col(target))).otherwise(F.array(F.lit("all")))
+        found = select_quantiles(pairs.select(F.explode(own).alias("part"), "value"), "value", [0.5], ["part"], ["m"])
+        one = lambda part, name: F.max(F.when(F.col("part") == part, F.col("m"))).alias(name)
+        return found.agg(one("all", "median_all"), one(S.POSITIVE, "median_yes"), one(S.NEGATIVE, "median_no"))
     vc = value_counts(df, value, [target])
     t = F.col(target)
     med = lambda v: F.percentile(v, F.lit(0.5), F.col("cnt")).cast("double")
@@ -248,6 +256,12 @@ def box_summary(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS,
     over the rows (one row per (variable, target), joined back by broadcast).
     """
     long = _box_long(df, columns, target)
+    if exact and continuous(df, columns, [target]):
+        quartiles = select_quantiles(long, "value", [0.25, 0.5, 0.75], ["variable", target], ["_a", "_b", "_c"])
+        qs = quartiles.select(F.col("variable").alias("_v"), F.col(target).alias("_t"), F.array("_a", "_b", "_c").alias("q"))
+        vcq = (long.select("variable", target, "value", F.lit(1).alias("cnt"))
+               .join(qs, (F.col("variable") == F.col("_v")) & F.col(target).eqNullSafe(F.col("_t"))).drop("_v", "_t"))
+        return _boxes(vcq, target)
     vc = long.groupBy("variable", target, "value").agg(F.count(F.lit(1)).alias("cnt"))
     if exact:
         w = Window.partitionBy("variable", target)
@@ -257,6 +271,11 @@ def box_summary(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS,
         qs = long.groupBy("variable", target).agg(
             F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias("q"))
         vcq = vc.join(F.broadcast(qs), ["variable", target])
+    return _boxes(vcq, target)
+
+
+def _boxes(vcq: DataFrame, target: str) -> DataFrame:
+    """The boxes from rows ``(variable, target, value, cnt, q)``."""
     fenced = (vcq
               .withColumn("lower_fence", F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]))
               .withColumn("upper_fence", F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])))

@@ -1,0 +1,138 @@
+"""Exact quantiles of continuous columns: equal to DuckDB and to Spark's own percentile, and the reports built on them."""
+
+import math
+import random
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from contactlens.functions import quantiles as Q
+from contactlens.functions import selection as S
+from contactlens.operators import features as FE
+from contactlens.operators import profile as P
+from contactlens.operators import stats
+
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+NAMES = [f"q{i}" for i in range(len(PROBS))]
+
+
+def sample(n, seed=1):
+    rng = random.Random(seed)
+    kinds = {"wide": lambda: rng.choice([-1, 1]) * math.exp(rng.gauss(0, 60)), "normal": lambda: rng.gauss(5, 2),
+             "ties": lambda: rng.choice([1.5, 1.5, 1.5, 2.25, rng.random()]), "one": lambda: 7.125, "tiny": lambda: rng.random() * 1e-300}
+    out = [(g, f()) for g, f in kinds.items() for _ in range(n)]
+    return out + [("few", 1.0), ("few", 2.0), ("single", 3.5)]
+
+
+@pytest.fixture
+def narrow(monkeypatch):
+    """Bounds so small that several rounds and the selection itself are needed on small tables."""
+    monkeypatch.setattr(S, "LIMIT", 20)
+    monkeypatch.setattr(S, "NEAR", 0.05)
+    monkeypatch.setattr(S, "FEW_VALUES", 50)
+
+
+def duck(rows, probs=PROBS):
+    with duckdb.connect() as c:
+        c.register("t", pd.DataFrame(rows, columns=["g", "x"]))
+        qs = ", ".join(f"quantile_cont(x, {p})" for p in probs)
+        return sorted(c.execute(f"SELECT g, {qs} FROM t GROUP BY g").fetchall())
+
+
+def test_equal_to_duckdb(spark, narrow):
+    rows = sample(3000)
+    df = spark.createDataFrame(rows, "g string, x double")
+    for parts in (1, 7):
+        got = S.select_quantiles(df.repartition(parts), "x", PROBS, ["g"], NAMES)
+        assert got.columns == ["g", *NAMES]
+        assert sorted(tuple(r) for r in got.collect()) == duck(rows)
+
+
+def test_a_hot_group_and_default_bounds(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"g{i % 200}", rng.expovariate(1.0)) for i in range(130_000)]
+    got = S.select_quantiles(spark.createDataFrame(pd.DataFrame(rows, columns=["g", "x"])), "x", [0.25, 0.5], ["g"])
+    assert sorted(tuple(r) for r in got.collect()) == duck(rows, [0.25, 0.5])
+
+
+def test_nulls_and_odd_numbers(spark, narrow):
+    inf, nan = float("inf"), float("nan")
+    values = [None, inf, -inf, 0.0, -0.0, nan, nan, 1e-320, -1e308, 1e308] + [float(i) for i in range(200)]
+    rows = [(None, "b c", v) for v in values] + [("x", "b c", None), ("x", None, 4.0), ("x", None, 5.0)]
+    df = spark.createDataFrame(rows, "`a.b` string, h string, x double")
+    by = ["`a.b`", "h"]
+    got = S.select_quantiles(df, "x", [0.1, 0.5, 0.9], ["a.b", "h"], ["p", "q", "r"])
+    assert got.columns == ["a.b", "h", "p", "q", "r"]
+    want = df.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")).where("q is not null").collect()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((r[0], r[1], *r["q"]) for r in want), key=repr)
+
+
+def test_without_groups_and_without_rows(spark, narrow):
+    df = spark.createDataFrame([(float(i * i),) for i in range(500)], "x double")
+    assert tuple(S.select_quantiles(df, "x", [0.5, 0.333]).first()) == tuple(df.agg(F.percentile("x", F.lit(0.5)), F.percentile("x", F.lit(0.333))).first())
+    assert tuple(S.select_quantiles(df.where("x < 0"), "x", [0.5]).first()) == (None,)
+    assert S.select_quantiles(df.where("x < 0").withColumn("g", F.lit(1)), "x", [0.5], ["g"]).count() == 0
+    with pytest.raises(ValueError):
+        S.select_quantiles(df, "x", [1.5])
+
+
+def test_no_task_gets_a_whole_column(spark, narrow, monkeypatch):
+    """What is sorted in one task is at most LIMIT values of a cell."""
+    sizes = []
+    own = S._in_order
+    monkeypatch.setattr(S, "_in_order", lambda data, ranks: sizes.append(
+        data.groupBy("group", "cell").count().agg(F.max("count")).first()[0]) or own(data, ranks))
+    S.select_quantiles(spark.createDataFrame(sample(2000), "g string, x double"), "x", [0.3, 0.6], ["g"]).collect()
+    assert sizes and max(sizes) <= 20
+
+
+@pytest.fixture
+def contacts(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["yes", "no", None]), rng.gauss(0, 1), rng.expovariate(1)) for i in range(900)]
+    return spark.createDataFrame(rows, "row_id long, deposit string, balance double, duration double").cache()
+
+
+def both_ways(monkeypatch, make):
+    """A report by value counts, and by selection."""
+    monkeypatch.setattr(S, "FEW_VALUES", 10**9)
+    first = make().collect()
+    monkeypatch.setattr(S, "FEW_VALUES", 10)
+    monkeypatch.setattr(S, "LIMIT", 30)
+    return first, make().collect()
+
+
+def close(a, b):
+    key = lambda r: repr([v for v in r if not isinstance(v, float)])
+    for x, y in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
+        assert all(u == v or (isinstance(u, float) and math.isclose(u, v, rel_tol=1e-12)) for u, v in zip(x, y, strict=True))
+
+
+def test_reports_do_not_depend_on_the_way(contacts, monkeypatch):
+    columns = ["balance", "duration"]
+    close(*both_ways(monkeypatch, lambda: P.profile_describe(contacts, columns)))
+    a, b = both_ways(monkeypatch, lambda: stats.box_summary(contacts, columns))
+    assert sorted(map(repr, a)) == sorted(map(repr, b)) and len(a) == 6
+    a, b = both_ways(monkeypatch, lambda: stats.outlier_rows(contacts, columns))
+    assert sorted(map(repr, a)) == sorted(map(repr, b))
+    a, b = both_ways(monkeypatch, lambda: stats.median_duration_by_target(contacts))
+    assert a == b
+    a, b = both_ways(monkeypatch, lambda: Q.grouped_quantiles(contacts, "balance", [0.1, 0.9], ["deposit"]))
+    assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+def test_robust_scaler_does_not_depend_on_the_way(spark, monkeypatch):
+    from conftest import SF001
+    from contactlens.plans import preprocess as PP
+    from contactlens.sources.campaign import campaign
+    train = PP.preprocess(campaign(spark, SF001)).withColumn("balance", F.col("balance") + F.rand(3)).cache()
+    want = FE.fit_encoding(train).numeric
+    monkeypatch.setattr(S, "FEW_VALUES", 100)
+    assert FE.fit_encoding(train).numeric == want
+
+
+def test_integers_are_not_measured(spark, monkeypatch):
+    monkeypatch.setattr(Q, "many_values", lambda *_: pytest.fail("looked"))
+    assert not Q.continuous(spark.range(3).selectExpr("cast(id as int) i", "cast(id as smallint) s"), ["i", "s"])
