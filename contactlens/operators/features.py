@@ -39,9 +39,45 @@ def test_flag(row_id: str | Column = "row_id", test_size: float = 0.25, seed: in
     return split_hash(row_id, seed) < F.lit(int(2 ** 32 * test_size))
 
 
-def train_test_split(df: DataFrame, test_size: float = 0.25, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: a seeded random 25% (not stratified), same rows on every run."""
-    return df.withColumn("is_test", test_flag("row_id", test_size, seed))
+def train_test_split(df: DataFrame, test_size: float = 0.25, seed: int = 42, exact: bool = False) -> DataFrame:
+    """Adds ``is_test``: a seeded random 25% (not stratified), same rows on every run.
+
+    The number of test rows is binomial; with ``exact`` it is the share of the
+    rows rounded up, those of the smallest hashes (ties by ``row_id``, which must
+    be unique). Finding the border takes a few counts over the hashes, no sort.
+    """
+    if not exact:
+        return df.withColumn("is_test", test_flag("row_id", test_size, seed))
+    last = _last_test_row(df.select("row_id", split_hash("row_id", seed).alias("h")), test_size)
+    if last is None:
+        return df.withColumn("is_test", F.lit(False))
+    h, top, row = split_hash("row_id", seed), F.lit(last[0]), F.lit(last[1]).cast(df.schema["row_id"].dataType)
+    return df.withColumn("is_test", (h < top) | ((h == top) & (X.col("row_id") <= row)))
+
+
+#: ranges that the border is looked for in at a time, as bits of the hash
+SPLIT_BITS = 12
+
+
+def _last_test_row(rows: DataFrame, test_size: float) -> tuple[int, object] | None:
+    """(hash, row_id) of the last test row in their order: counts by ranges of hashes, each pass within the range found before."""
+    lo, width, rank = 0, 32, None
+    while width > 0:
+        width = max(0, width - SPLIT_BITS)
+        ranges = (rows.where(F.col("h").between(lo, lo + (1 << min(32, width + SPLIT_BITS)) - 1))
+                  .groupBy(F.shiftright("h", width).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if rank is None:
+            rank = math.ceil(sum(r["n"] for r in ranges) * test_size)
+            if rank == 0:
+                return None
+        for r in sorted(ranges, key=lambda r: r["range"]):
+            if rank <= r["n"]:
+                lo = r["range"] << width
+                break
+            rank -= r["n"]
+    # rows of one 32-bit hash: n / 2**32 on average
+    ties = rows.where(F.col("h") == lo).select("row_id").orderBy("row_id").limit(rank)
+    return lo, ties.agg(F.max("row_id")).first()[0]
 
 
 # -- single encoders -------------------------------------------------------------------

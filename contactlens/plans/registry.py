@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlens.functions import expressions as X
+from contactlens.functions.selection import select_quantiles
 from contactlens.operators import stats
 from contactlens.plans.oracle import with_campaign
 from contactlens.sources import schema as S
@@ -55,6 +56,14 @@ def pct_sql(part: str, whole: str) -> str:
     return f"round_even(CAST({part} AS DOUBLE) / NULLIF({whole}, 0) * 100e0 * 100e0, 0) / 100e0"
 
 
+@register("continuous_quantiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50, "
+          "quantile_cont(l_extendedprice, 0.75) AS q75 FROM lineitem GROUP BY l_returnflag")
+def _continuous_quantiles(spark, sf):
+    """Quartiles of a column of nearly distinct doubles, by narrowing."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return select_quantiles(lines, "l_extendedprice", [0.25, 0.5, 0.75], ["l_returnflag"])
+
+
 # -- 2.1 sources -----------------------------------------------------------------
 
 @register("load_campaign", with_campaign("SELECT * FROM campaign"))
@@ -494,6 +503,14 @@ def _train_test_split(spark, sf):
     return FE.train_test_split(campaign(spark, sf)).select("row_id", "is_test")
 
 
+@register("train_test_split_exact", with_campaign(
+    "SELECT row_id, row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':42'), 1, 8))::BIGINT, row_id) "
+    "<= (SELECT ceil(count(*) * 0.25) FROM campaign) AS is_test FROM campaign"))
+def _train_test_split_exact(spark, sf):
+    """Exactly a quarter of the rows, rounded up."""
+    return FE.train_test_split(campaign(spark, sf), exact=True).select("row_id", "is_test")
+
+
 @register("encode_binary", with_campaign(f"SELECT row_id, {', '.join(BINARY_SQL)} FROM p", PREP_CTE))
 def _encode_binary(spark, sf):
     return _prepared(spark, sf).select("row_id", *FE.encode_binary())
@@ -815,9 +832,14 @@ def _model_bakeoff(spark, sf):
     return M.model_bakeoff(encoded_table(spark, sf)).drop("fit_seconds")
 
 
+#: the points of the search: the source's winner of each family, and a smaller neighbour
+SEARCH_POINTS = [
+    ("random_forest", {"numTrees": 100, "maxDepth": 10}), ("random_forest", {"numTrees": 50, "maxDepth": 5}),
+    ("gbt_depthwise", {"trees": 300, "max_depth": 7}), ("gbt_depthwise", {"trees": 100, "max_depth": 7}),
+    ("gbt_leafwise", {"trees": 200, "max_leaves": 31}), ("gbt_leafwise", {"trees": 100, "max_leaves": 31}),
+]
+
+
 @register("grid_search")
 def _grid_search(spark, sf):
-    from pyspark.ml.classification import RandomForestClassifier
-    grid = {"numTrees": [50, 100], "maxDepth": [5, 10]}
-    est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=42)
-    return M.grid_search(encoded_table(spark, sf), est, grid, folds=3, parallelism=4)[1]
+    return M.search(encoded_table(spark, sf), SEARCH_POINTS, folds=2, shares=(0.25, 1.0), parallelism=4)[1]
