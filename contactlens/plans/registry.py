@@ -19,7 +19,8 @@ from contactlens.functions.selection import select_quantiles
 from contactlens.operators import stats
 from contactlens.plans.oracle import with_campaign
 from contactlens.sources import schema as S
-from contactlens.sources.campaign import _key, campaign
+from contactlens.sources.campaign import _key, campaign, load_campaign
+from contactlens.sources.storage import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,16 +57,25 @@ def pct_sql(part: str, whole: str) -> str:
     return f"round_even(CAST({part} AS DOUBLE) / NULLIF({whole}, 0) * 100e0 * 100e0, 0) / 100e0"
 
 
-@register("continuous_quantiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50, "
-          "quantile_cont(l_extendedprice, 0.75) AS q75 FROM lineitem GROUP BY l_returnflag")
+@register("continuous_quantiles", "SELECT l_returnflag, " + ", ".join(
+    f"round(quantile_cont(l_extendedprice, {p}), 6) AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75)) + " FROM lineitem GROUP BY l_returnflag")
 def _continuous_quantiles(spark, sf):
-    """Quartiles of a column of nearly distinct doubles, by narrowing."""
+    """Quartiles of a column of nearly distinct doubles, by narrowing (rounded: engines interpolate in different orders)."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return select_quantiles(lines, "l_extendedprice", [0.25, 0.5, 0.75], ["l_returnflag"])
+    found = select_quantiles(lines, "l_extendedprice", [0.25, 0.5, 0.75], ["l_returnflag"])
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
 
 
 # -- 2.1 sources -----------------------------------------------------------------
 
+@register("load_campaign_csv", with_campaign("SELECT * REPLACE (row_number() OVER (ORDER BY row_id) - 1 AS row_id) FROM campaign"))
+def _load_campaign_csv(spark, sf):
+    """The contact table written as CSV files with header, and read back: rows are numbered in file order."""
+    path = f"{scratch_dir(spark)}/contactlens/campaign-{uuid.uuid4().hex}.csv"
+    campaign(spark, sf).orderBy("row_id").drop("row_id").write.option("header", True).csv(path)
+    return load_campaign(spark, path)
+
+
 @register("load_campaign", with_campaign("SELECT * FROM campaign"))
 def _load_campaign(spark, sf):
     return campaign(spark, sf)
@@ -404,6 +414,14 @@ def _pivot_counts(spark, sf):
     return R.pivot_counts(campaign(spark, sf), "job", fill=0)
 
 
+@register("pivot_counts_unfilled", with_campaign(
+    "SELECT age, NULLIF(COUNT(*) FILTER (WHERE deposit = 'yes'), 0) AS yes, NULLIF(COUNT(*) FILTER (WHERE deposit = 'no'), 0) AS no "
+    "FROM campaign WHERE duration > 3000 GROUP BY age"))
+def _pivot_counts_unfilled(spark, sf):
+    """A combination that does not occur stays missing."""
+    return R.pivot_counts(campaign(spark, sf).where("duration > 3000"), "age")
+
+
 @register("unpivot_counts", with_campaign(
     "SELECT job, deposit, COUNT(*) AS count FROM campaign GROUP BY job, deposit"))
 def _unpivot_counts(spark, sf):
@@ -697,7 +715,6 @@ def _compare_models(spark, sf):
 from contactlens.operators import models as M  # noqa: E402
 
 _FIT_LOCK = threading.RLock()
-from contactlens.sources.storage import scratch_dir  # noqa: E402
 
 _FITTED: dict[tuple, object] = {}
 

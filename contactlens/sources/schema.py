@@ -29,6 +29,10 @@ ORDINAL_FEATURES = ["education", "age_cat"]
 CYCLIC_FEATURES = ["day_sin", "day_cos", "month_sin", "month_cos"]
 NUMERIC_FEATURES = ["balance", "campaign", "duration", "previous", "pdays_days"]
 
+# texts that count as missing in a CSV file (the defaults of pandas.read_csv)
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+               "NaN", "None", "n/a", "nan", "null"]
+
 CATEGORICAL_COLUMNS = ["job", "marital", "education", "default", "housing", "loan",
                        "contact", "month", "poutcome"]
 HISTOGRAM_COLUMNS = ["balance", "day", "duration", "campaign", "pdays", "previous"]
