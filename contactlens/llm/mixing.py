@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from contactlens.llm.common import partitions, with_columns_of, written
 
 SEED = 17
-#: as many source rows may be broadcast; beyond that the rates come by a shuffle join on (source, salt)
-BROADCAST_SOURCES = 20_000
+#: bytes of probabilities that may be broadcast; beyond that they come by a shuffle join on (source, salt)
+BROADCAST_BYTES = 16 << 20
 SALTS = 64
 #: rate beyond which exp(-rate) is not used
 LARGE = 700.0
@@ -29,13 +29,13 @@ def uniform(id_col, seed: int):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_steps(rate):
-    """Cumulative Poisson probabilities P(X <= 0), P(X <= 1), ... until they are 1 in double precision.
+def poisson_window(rate):
+    """``(low, steps)``: cumulative Poisson probabilities P(X <= low), P(X <= low + 1), ... until they are 1 in double precision.
 
     exp(-rate) leaves the range of doubles beyond a rate of 700. From there on
     the terms are taken relative to the one 12 deviations and 24 below the
-    mean (e**-72 of the mode at most; those before it count as 0) and divided
-    by their sum.
+    mean, ``low`` (e**-72 of the mode at most; those before it count as 0), and
+    divided by their sum. A row holds about 24 sqrt(rate) numbers at most.
     """
     n = (F.ceil(rate + F.lit(12.0) * F.sqrt(rate)) + 24).cast("int")
     low = (F.floor(rate - F.lit(12.0) * F.sqrt(rate)) - 24).cast("int")
@@ -44,7 +44,23 @@ def poisson_steps(rate):
                                  F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * rate / i)).alias("c"))
     direct = F.aggregate(F.sequence(F.lit(1), n), start(F.exp(-rate)), step)["c"]
     relative = F.aggregate(F.sequence(low + 1, n), start(F.lit(1.0)), step, lambda a: F.transform(a["c"], lambda c: c / F.element_at(a["c"], -1)))
-    return F.when(rate <= LARGE, direct).otherwise(F.concat(F.array_repeat(F.lit(0.0), low), relative))
+    return F.when(rate <= LARGE, F.struct(F.lit(0).alias("low"), direct.alias("steps"))).otherwise(F.struct(low.alias("low"), relative.alias("steps")))
+
+
+def poisson_steps(rate):
+    """Cumulative Poisson probabilities P(X <= 0), P(X <= 1), ...: the window behind as many zeros as it leaves out."""
+    window = poisson_window(rate)
+    return F.concat(F.array_repeat(F.lit(0.0), window["low"]), window["steps"])
+
+
+def quantile(low, steps, u, longest: int):
+    """How many cumulative probabilities do not exceed ``u``, ``low`` and the entries of the sorted ``steps``, by bisection."""
+    middle = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    right = lambda a: F.get(steps, middle(a)) <= u
+    halve = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(
+        right(a), F.struct((middle(a) + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), middle(a).alias("hi")))
+    turns = F.sequence(F.lit(1), F.lit(max(1, longest.bit_length())))
+    return low + F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.size(steps).alias("hi")), halve)["lo"]
 
 
 def rates(documents: DataFrame, targets: DataFrame | None = None, source: str = "source", text: str = "text",
@@ -88,20 +104,23 @@ def mix(documents: DataFrame, targets: DataFrame | None = None, id_col: str = "d
     if number in documents.columns:
         raise ValueError(f"the table has a column {number} already; name another")
     table = rates(documents, targets, source, text, size, alpha)
-    table = written(table.select(F.col("source").alias("_mix_source"), poisson_steps(F.col("rate")).alias("_mix_steps")), "steps")
+    table = table.select(F.col("source").alias("_mix_source"), poisson_window(F.col("rate")).alias("_mix"))
+    table = written(table.select("_mix_source", F.col("_mix.low").alias("_mix_low"), F.col("_mix.steps").alias("_mix_steps")), "steps")
+    held = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("_mix_steps")), F.lit(0)).alias("numbers"),
+                     F.coalesce(F.max(F.size("_mix_steps")), F.lit(1)).alias("longest")).first()
     docs = documents.withColumn("_mix_u", uniform(F.col(f"`{id_col}`"), seed))
     same = F.col(f"`{source}`").eqNullSafe(F.col("_mix_source"))
-    if table.count() <= BROADCAST_SOURCES:
+    if 8 * held["numbers"] + 100 * held["rows"] <= BROADCAST_BYTES:
         joined = docs.join(F.broadcast(table), same)
     else:
         salted = table.withColumn("_mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         docs = docs.withColumn("_mix_salt", F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SALTS)).cast("int"))
         joined = docs.join(salted, same & (F.col("_mix_salt") == F.col("_mix_salt2"))).drop("_mix_salt", "_mix_salt2")
-    count = F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u")))
+    count = quantile(F.col("_mix_low"), F.col("_mix_steps"), F.col("_mix_u"), held["longest"])
     out = (joined.withColumn("_mix_n", count).where("_mix_n > 0")
            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1))))
     order = F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`"), F.col("_mix_copy"))
-    out = (out.withColumn("_mix_order", order).drop("_mix_u", "_mix_steps", "_mix_source", "_mix_n")
+    out = (out.withColumn("_mix_order", order).drop("_mix_u", "_mix_low", "_mix_steps", "_mix_source", "_mix_n")
            .repartition(partitions(documents.sparkSession), "_mix_order").sortWithinPartitions("_mix_order"))
     kept = [F.col(f"`{c}`") for c in documents.columns]
     return out.select(*kept, *([F.col("_mix_copy").alias(number)] if number else []))
@@ -118,14 +137,19 @@ WITH RECURSIVE s AS (
 ), r AS (
   SELECT source, CASE WHEN chars > 0 THEN t.c * (sqrt(chars) / t.w) / chars ELSE 0.0 END AS rate FROM s, t
 ), steps AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
+  SELECT source, rate, CASE WHEN rate > 700 THEN CAST(floor(rate - 12e0 * sqrt(rate)) AS BIGINT) - 24 ELSE 0 END AS k,
+         CASE WHEN rate > 700 THEN 1e0 ELSE exp(-rate) END AS p, CASE WHEN rate > 700 THEN 1e0 ELSE exp(-rate) END AS c FROM r
   UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps
   WHERE k < ceil(rate + 12e0 * sqrt(rate)) + 24
+), low AS (
+  SELECT source, CASE WHEN max(rate) > 700 THEN min(k) ELSE 0 END AS low, CASE WHEN max(rate) > 700 THEN max(c) ELSE 1e0 END AS total
+  FROM steps GROUP BY source
 ), d AS (
-  SELECT *, CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS u
+  SELECT *, row_number() OVER () AS r, CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS u
   FROM documents
 ), n AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, COUNT(*) AS n
-  FROM d JOIN steps ON d.source IS NOT DISTINCT FROM steps.source AND steps.c <= d.u GROUP BY ALL
+  SELECT d.r, any_value(low.low) + COUNT(steps.k) AS n
+  FROM d JOIN low ON d.source IS NOT DISTINCT FROM low.source
+  LEFT JOIN steps ON d.source IS NOT DISTINCT FROM steps.source AND steps.c / low.total <= d.u GROUP BY d.r
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(n)) AS INTEGER) AS copy FROM n"""
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(n)) AS INTEGER) AS copy FROM d JOIN n USING (r)"""

@@ -1,0 +1,62 @@
+"""Mixing at large rates: bounded rows, counts by bisection, the byte check's other way, and the SQL text."""
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from contactlens.llm import mixing
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def counts(df):
+    return {r["doc_id"]: r["n"] for r in df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("copy").alias("c")).collect()
+            if r["n"] == r["c"]}
+
+
+def plain(df):
+    """Counts by a search in the whole array of probabilities."""
+    rate = {r["source"]: r["rate"] for r in mixing.rates(df).collect()}
+    steps = {s: np.array(df.sparkSession.range(1).select(mixing.poisson_steps(F.lit(x)).alias("c")).first()["c"]) for s, x in rate.items()}
+    us = df.select("doc_id", "source", mixing.uniform(F.col("doc_id"), mixing.SEED).alias("u")).collect()
+    return {r["doc_id"]: n for r in us if (n := int(np.searchsorted(steps[r["source"]], r["u"], "right")))}
+
+
+@pytest.fixture(scope="module")
+def tiny(spark):
+    """Sources at rates of about 800, 300 and 1."""
+    rows = [(i, "x", "en", "tiny", 1) for i in range(10)] + [(20 + i, "x" * 7, None, None, 7) for i in range(9)]
+    rows += [(100 + i, "y" * 800_000, "en", "large", 800_000) for i in range(8)] + [(900, None, "en", "empty", None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_counts(tiny, limit, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", limit)
+    rate = {r["source"]: r["rate"] for r in mixing.rates(tiny).collect()}
+    assert rate["tiny"] > 750 > 100 > rate["large"]
+    assert counts(mixing.mix(tiny)) == plain(tiny)
+
+
+def test_sql_agrees_at_large_rates(tiny):
+    with duckdb.connect() as c:
+        c.register("documents", tiny.toPandas())
+        want = dict(c.execute(f"SELECT doc_id, count(*) FROM ({mixing.SQL}) GROUP BY doc_id").fetchall())
+    assert counts(mixing.mix(tiny)) == want
+
+
+def test_rows_grow_with_the_root_of_the_rate(spark):
+    for rate, most in ((1e4, 3_000), (1e6, 25_000)):
+        window = spark.range(1).select(mixing.poisson_window(F.col("id") + F.lit(rate)).alias("w")).select("w.low", "w.steps").first()
+        p = np.diff(np.array(window["steps"]), prepend=0.0)
+        k = window["low"] + np.arange(len(p))
+        assert len(p) < most and (k * p).sum() == pytest.approx(rate, rel=1e-9)
+
+
+def test_bisection(spark):
+    steps = [0.1, 0.1, 0.5, 0.9, 1.0]
+    for u, want in ((0.0, 0), (0.1, 2), (0.2, 2), (0.5, 3), (0.95, 4), (1.0, 5)):
+        for longest in (5, 500):
+            got = spark.range(1).select(mixing.quantile(F.lit(7), F.array(*map(F.lit, steps)), F.col("id") + F.lit(u), longest).alias("n"))
+            assert got.first()["n"] == 7 + want
