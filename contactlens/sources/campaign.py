@@ -56,16 +56,18 @@ def _numbered(df: DataFrame) -> DataFrame:
 
     A split (a byte range of a file) is read by one task from front to back,
     so a row's place in it is its increasing id less the split's smallest.
-    The table of splits has one row of four numbers per split, 128 MB of
-    input each by default, and is joined back by the split's key. Its running
-    sum is a window without keys, over these rows alone (800,000 at 100 TB).
+    The running sum over the splits is made on the driver, which plans every
+    scan from the same list: one row of four values per split, 128 MB of input each by default.
     """
     at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
                    F.monotonically_increasing_id().alias("_id"))
-    splits = at.groupBy("_file", "_start").agg(F.min("_id").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("_file", "_start", "_lo", F.coalesce(before, F.lit(0)).alias("_before"))
-    return (at.join(splits, ["_file", "_start"])
+    splits = at.groupBy("_file", "_start").agg(F.min("_id").alias("_lo"), F.count(F.lit(1)).alias("_n")).collect()
+    before, rows = 0, []
+    for r in sorted(splits, key=lambda r: (r["_file"].encode(), r["_start"])):
+        rows.append((r["_file"], r["_start"], r["_lo"], before))
+        before += r["_n"]
+    table = df.sparkSession.createDataFrame(rows, "_file string, _start long, _lo long, _before long")
+    return (at.join(table, ["_file", "_start"])
             .withColumn("row_id", F.col("_before") + F.col("_id") - F.col("_lo")).drop("_file", "_start", "_id", "_lo", "_before"))
 
 
