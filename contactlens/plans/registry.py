@@ -261,6 +261,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # =====================================================================================
 from contactlens.operators import evaluate as EV  # noqa: E402
 from contactlens.operators import features as FE  # noqa: E402
+from contactlens.operators import sparse as SP  # noqa: E402
 from contactlens.operators import profile as P  # noqa: E402
 from contactlens.operators import reshape as R  # noqa: E402
 from contactlens.operators import transform as T  # noqa: E402
@@ -540,6 +541,19 @@ def _encode_onehot(spark, sf):
     return prep.select("row_id", *FE.encode_onehot(_encoding(spark, sf).categories))
 
 
+@register("encode_onehot_sparse", with_campaign(
+    "SELECT row_id, ((SELECT count(*) FROM cat_job) + (SELECT count(*) FROM cat_balance))::INT AS size, "
+    "concat_ws(',', j.i, b.i + (SELECT count(*) FROM cat_job)) AS indices "
+    "FROM campaign c LEFT JOIN cat_job j ON j.v = c.job LEFT JOIN cat_balance b ON b.v = c.balance::VARCHAR",
+    *[f"cat_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM campaign WHERE NOT {SPLIT_SQL}))"
+      for c in ("job", "balance")]))
+def _encode_onehot_sparse(spark, sf):
+    """Two columns' categories in one sparse vector, the balance taken as a category of thousands of values."""
+    contacts = FE.train_test_split(campaign(spark, sf))
+    found = SP.onehot_indices(contacts, SP.fit_all(contacts.where(~F.col("is_test")), ["job", "balance"]))
+    return found.select("row_id", "size", F.concat_ws(",", F.col("indices").cast("array<string>")).alias("indices"))
+
+
 @register("encode_ordinal", with_campaign(f"SELECT row_id, {EDU_SQL}, {AGECAT_ORD_SQL} FROM p, md", PREP_CTE))
 def _encode_ordinal(spark, sf):
     prep = _prepared(spark, sf)
