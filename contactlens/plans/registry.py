@@ -816,8 +816,9 @@ def _same_scores(a, b):
 @register("feature_importances")
 def _feature_importances(spark, sf):
     """Three definitions for each of the three models."""
-    parts = [M.feature_importances(fitted(spark, sf, m), kind).select(F.lit(m).alias("model"), F.lit(kind).alias("kind"), "*")
-             for m in PRESET_MODELS for kind in M.IMPORTANCES]
+    nodes = {m: M.model_nodes(fitted(spark, sf, m)) for m in PRESET_MODELS}
+    parts = [M.feature_importances(fitted(spark, sf, m), kind, table).select(F.lit(m).alias("model"), F.lit(kind).alias("kind"), "*")
+             for m, table in nodes.items() for kind in M.IMPORTANCES]
     return functools.reduce(lambda x, y: x.unionByName(y), parts)
 
 
