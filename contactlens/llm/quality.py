@@ -2,18 +2,19 @@
 
 Two generative models over hashed n-grams, one of the target (documents
 labelled good) and one of the raw text (all documents), give every document
-the mean logarithm of its likelihood ratio per n-gram. Gumbel noise from a hash
-of the id, times TEMPERATURE, and an exact cut at the k-th largest key sample k
-documents without replacement in proportion to exp(mean / TEMPERATURE). At a
-TEMPERATURE of 0.02 that is close to a fixed cut: on sf0.01 the noise decides
-for none of 1,000 documents.
+the logarithm of its likelihood ratio, the sum over all its n-grams. With
+standard Gumbel noise from a hash of the id added, an exact cut at the k-th
+largest key samples k documents without replacement in proportion to their
+ratios. Ratios of whole documents often lie hundreds of nats apart; there the
+noise decides nothing, as it should.
 
 The n-grams are 5-grams of character shapes (letters, capitals and digits are
 one sign each, all other signs stay) and runs of word repetitions (how many
 words ago a word last stood). Word identities are left out on purpose: they
-follow the mix of languages and topics in the labelled sample, not quality
-(measured: with words 0.2 % to 20 % of good documents are lost, without none).
-The ratio is taken per n-gram, so a document's length does not decide.
+follow the mix of languages and topics in the labelled sample, not quality.
+Counts are smoothed towards the raw model, never by more than one half: mass
+given to buckets that do not occur would cost every document something per n-gram,
+and long good documents more than short bad ones.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ BUCKETS = 1 << 16
 KINDS = 2
 #: characters of a shape n-gram, and how many words back a repetition is looked for
 SHAPE_N, WINDOW = 5, 8
-#: scale of the Gumbel noise, in nats of the log ratio per n-gram
-TEMPERATURE = 0.02
+#: scale of the Gumbel noise; 1 draws in proportion to the ratios themselves
+TEMPERATURE = 1.0
 SEED = 6
+#: columns that ``resample`` adds
+ADDED = ("_ratio", "_features", "_key")
 
 _SHAPE = np.arange(256, dtype=np.uint64)
 _SHAPE[97:123] = 97
@@ -89,6 +92,8 @@ def _labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
 def model(documents: DataFrame, labelled: DataFrame, smoothing: float = 0.5) -> np.ndarray:
     """Log ratio of target to raw probability per bucket; counts over all documents.
 
+    With ``e`` the target count that the raw rate lets expect, both models get
+    ``smoothing * min(1, e)`` more. Without good documents all ratios are 0.
     Every task adds up its own documents first, so at most ``KINDS * BUCKETS``
     rows leave a task and as many reach the driver.
     """
@@ -113,18 +118,27 @@ def model(documents: DataFrame, labelled: DataFrame, smoothing: float = 0.5) ->
 
     got = (rows.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket")
            .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas())
-    c = np.full((2, KINDS * BUCKETS), smoothing)
-    c[0, got["bucket"]] += got["raw"]
-    c[1, got["bucket"]] += got["good"]
-    c = c.reshape(2, KINDS, BUCKETS)
-    if not got["good"].sum():
-        return np.zeros((KINDS, BUCKETS))
-    p = np.log(c / c.sum(axis=2, keepdims=True))
-    return p[1] - p[0]
+    counts = np.zeros((2, KINDS * BUCKETS))
+    counts[:, got["bucket"]] = got[["raw", "good"]].to_numpy(float).T
+    return ratios_of(*counts.reshape(2, KINDS, BUCKETS), smoothing)
+
+
+def ratios_of(raw: np.ndarray, good: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
+    """Smoothed log ratios from the counts ``(kind, bucket)``; 0 for buckets that do not occur."""
+    out = np.zeros(raw.shape)
+    for kind in range(len(raw)):
+        if not good[kind].sum():
+            continue
+        there = raw[kind] > 0
+        e = raw[kind][there] * (good[kind].sum() / raw[kind].sum())
+        more = smoothing * np.minimum(1, e)
+        target, base = good[kind][there] + more, e + more
+        out[kind][there] = np.log(target / target.sum()) - np.log(base / base.sum())
+    return out
 
 
 def log_ratios(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``documents`` with ``_ratio`` (per n-gram, summed over the kinds) and ``_features`` (number of n-grams)."""
+    """``documents`` with ``_ratio`` (summed over all n-grams) and ``_features`` (number of n-grams)."""
     shared = documents.sparkSession.sparkContext.broadcast(ratio)
 
     @F.arrow_udf("struct<ratio:double,n:long>")
@@ -135,15 +149,17 @@ def log_ratios(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
             t, n = 0.0, 0
             for kind, (f, start) in enumerate(features(data, off)):
                 run = np.concatenate([[0.0], np.cumsum(weight[kind][f])])
-                size = np.diff(start)
-                t = t + (run[start[1:]] - run[start[:-1]]) / np.maximum(size, 1)
-                n = n + size
+                t = t + run[start[1:]] - run[start[:-1]]
+                n = n + np.diff(start)
             total.append(t)
             number.append(n)
         return pa.StructArray.from_arrays([pa.array(np.concatenate(total)), pa.array(np.concatenate(number))], names=["ratio", "n"])
 
-    return (documents.withColumn("_score", score(F.col("text").cast("string")))
-            .withColumn("_ratio", F.round("_score.ratio", 6)).withColumn("_features", F.col("_score.n")).drop("_score"))
+    both = score(F.col("text").cast("string"))
+    own = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ADDED]
+    held = "_score" + "_" * max(map(len, documents.columns))  # longer than any column of the input
+    return (documents.select(*own, both.alias(held))
+            .select(*own, F.round(f"{held}.ratio", 6).alias("_ratio"), F.col(f"{held}.n").alias("_features")))
 
 
 def gumbel(id_col, seed: int):
@@ -195,7 +211,7 @@ def kth_largest(keys: DataFrame, column: str, k: int, collect: int = 10_000, bin
 
 def resample(documents: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED,
              k: int | None = None, bound: int = LABELLED) -> DataFrame:
-    """The documents of the sample, with ``_ratio``, ``_features`` and ``_key`` added.
+    """The documents of the sample, with ``_ratio``, ``_features`` and ``_key`` added (in place of columns of these names).
 
     ``k`` is the sample's size; by default the number of documents whose ratio
     reaches the cut that best parts the labelled sample. Equal keys (repeated
@@ -203,26 +219,33 @@ def resample(documents: DataFrame, labels: DataFrame, temperature: float = TEMPE
     feature (null, empty or only blank texts) are rejected. A null id is
     hashed as the text 'null'. Without labels of both kinds all documents with
     features stay. An empty table gives no rows.
+
+    The scored documents are written once, so that the kernel reads every text
+    twice in all: once to count, once to score.
     """
     with_columns_of(documents, "doc_id", "text")
     with_columns_of(labels, "doc_id", "quality")
     labelled = written(_labelled(labels, bound), "labelled")
     ratio = model(documents, labelled)
-    scored = log_ratios(documents, ratio).withColumn(
+    keyed = log_ratios(documents, ratio).withColumn(
         "_key", F.col("_ratio") + F.lit(float(temperature)) * gumbel(F.col("doc_id"), seed))
-    small = written(scored.where("_features > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "_ratio", "_key"), "keys")
+    scored = written(keyed.where("_features > 0"), "scored")
     if k is None:
-        own = small.join(F.broadcast(labelled), F.col("doc_id") == F.col("label_id")).select("_ratio", "good").toPandas()
+        own = (scored.select(F.col("doc_id").cast("long").alias("id"), "_ratio")
+               .join(F.broadcast(labelled), F.col("id") == F.col("label_id"))
+               .groupBy("label_id", "good").agg(F.min("_ratio").alias("_ratio")).toPandas())  # at most ``bound`` rows
         cut = best_cut(own["_ratio"].to_numpy(float), own["good"].to_numpy(int) == 1)
-        k = small.where(F.col("_ratio") >= F.lit(cut)).count()
-    k = min(k, small.count())
-    border = kth_largest(small, "_key", k)
-    return scored.where((F.col("_features") > 0) & (F.col("_key") >= F.lit(border)))
+        k = scored.where(F.col("_ratio") >= F.lit(cut)).count()
+    border = kth_largest(scored, "_key", min(k, scored.count()))
+    return scored.where(F.col("_key") >= F.lit(border))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the sample, as they came (whatever their columns are named)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resample(docs, labels).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = {c: c + "_" * max(map(len, docs.columns)) for c in docs.columns if c.lower() in ADDED}  # names no column has
+    out = resample(docs.withColumnsRenamed(held), labels)
+    return out.select(*[F.col(f"`{held.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -274,6 +274,73 @@ def test_quality(spark, docs):
     assert quality.kth_largest(cut, "v", 9) == sorted((i % 7000 for i in range(30000)), reverse=True)[8]
 
 
+def plain_features(t):
+    """Per kind the buckets of a text's n-grams, sign by sign and word by word."""
+    sign = lambda b: 97 if b >= 128 or 97 <= b <= 122 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b
+    signs = [sign(b) for b in (t or "").encode()]
+    shape = []
+    for i in range(len(signs) - 4):
+        g = 0
+        for x in signs[i:i + 5]:
+            g = (g * 257 + x) % 2 ** 64
+        shape.append(int(mix(np.array([g], np.uint64))[0]) % quality.BUCKETS)
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+    back = [next((k for k in range(1, quality.WINDOW + 1) if i >= k and w[i - k] == w[i]), 0) for i in range(len(w))]
+    return shape, back
+
+
+def test_quality_ratios_and_sample(spark, docs):
+    rng = random.Random(66)
+    texts = [(i, text(rng, rng.randint(1, 60)) + (" !! 77 XX" * rng.randint(0, 3) if i % 3 else ".")) for i in range(60)]
+    texts += [(100, texts[0][1]), (101, texts[0][1] * 200), (102, "ab"), (103, None), (104, " ")]
+    good = {i for i, _ in texts if i % 3 == 0 and i < 40}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    raw, target = [{}, {}], [{}, {}]
+    found = {i: plain_features(t) for i, t in texts}
+    for i, kinds in found.items():
+        for kind, f in enumerate(kinds):
+            for x in f:
+                raw[kind][x] = raw[kind].get(x, 0) + 1
+                if i in good:
+                    target[kind][x] = target[kind].get(x, 0) + 1
+    weight = [{}, {}]
+    for kind in range(2):
+        share = sum(target[kind].values()) / sum(raw[kind].values())
+        a = {x: target[kind].get(x, 0) + 0.5 * min(1, n * share) for x, n in raw[kind].items()}
+        b = {x: n * share + 0.5 * min(1, n * share) for x, n in raw[kind].items()}
+        weight[kind] = {x: math.log(a[x] / sum(a.values())) - math.log(b[x] / sum(b.values())) for x in a}
+    exp = {i: sum(weight[kind][x] for kind in range(2) for x in f[kind]) for i, f in found.items()}
+    noise = {r["doc_id"]: r["g"] for r in docs(texts).select("doc_id", quality.gumbel(F.col("doc_id"), quality.SEED).alias("g")).collect()}
+    able = [i for i in exp if any(found[i])]
+    assert 103 not in able and 104 not in able and 102 in able  # "ab": one word, no shape
+    for k in (1, 7, 30):
+        rows = {r["doc_id"]: r for r in quality.resample(docs(texts), labels, k=k).collect()}
+        best = sorted(able, key=lambda i: -(round(exp[i], 6) + noise[i]))[:k]
+        assert set(rows) == set(best)
+        assert all(abs(r["_ratio"] - exp[i]) < 1e-4 and abs(r["_key"] - exp[i] - noise[i]) < 1e-4 for i, r in rows.items())
+
+
+def test_quality_draws_in_proportion(spark):
+    """Of three documents the first place goes to each as often as its share of the ratios says."""
+    ratio = F.col("id") % 3
+    best = (spark.range(60000).select((F.col("id") / 3).cast("long").alias("trial"), ratio.alias("r"),
+                                      (ratio + quality.gumbel(F.col("id"), quality.SEED)).alias("key"))
+            .groupBy("trial").agg(F.max_by("r", "key").alias("r")).groupBy("r").count().collect())
+    total = sum(math.exp(x) for x in range(3))
+    for r in best:
+        assert abs(r["count"] / 20000 - math.exp(r["r"]) / total) < 0.015
+
+
+def test_quality_odd_tables(spark, docs):
+    rng = random.Random(67)
+    df = docs([(i, text(rng, 20)) for i in range(10)] * 2).withColumn("_key", F.lit("mine")).withColumn("_score", F.lit(5))
+    out = quality.stage(spark, df, "/root/testdata/sf0.001")
+    assert out.columns == df.columns and {(r["_key"], r["_score"]) for r in out.collect()} <= {("mine", 5)}
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.resample(df, none).count() == 20  # no labels: all stay
+    assert quality.resample(df, none, k=3).count() in (4, 6)  # rows of one id have one key and stay together
+
+
 # -- 7 ------------------------------------------------------------------------------
 
 def test_chat_format(spark):
