@@ -103,12 +103,64 @@ def test_cover_tree_top_k(spark):
     assert cover_tree.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
-def test_cover_tree_prunes():
-    rng = np.random.default_rng(8)
-    d = np.rint(256 * (np.repeat(10 * rng.standard_normal((20, 8)), 100, 0) + 0.05 * rng.standard_normal((2000, 8)))).astype(np.int64)
-    q = d[::50]
-    _, ids, work = cover_tree.dual_search(q, np.arange(0, 2000, 50), d, np.arange(2000), 5)
-    assert work < 0.5 * len(q) * len(d) and all(len(i) == 5 for i in ids)
+def clustered(rng, n, dims, clusters, width):
+    """Unit vectors around ``clusters`` centres; ``width`` is the noise's length against the centre's."""
+    c = rng.standard_normal((clusters, dims))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    v = c[rng.integers(0, clusters, n)] + width * rng.standard_normal((n, dims)) / math.sqrt(dims)
+    return np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+
+
+@pytest.mark.parametrize("clusters", [1, 40, 3000])
+def test_cover_tree_holds_its_levels(clusters):
+    x = clustered(np.random.default_rng(clusters), 1500, 16, clusters, 0.2).astype(float)
+    x[700:900] = x[3]
+    root, levels = cover_tree.cover_tree(x)
+    above = np.zeros(1, np.int64)
+    for radius, net, parents in levels:
+        between = np.sqrt(((x[net][:, None] - x[net][None]) ** 2).sum(2))
+        np.fill_diagonal(between, np.inf)
+        assert between.min() > radius and set(above) <= set(net)  # apart, nested
+        assert np.sqrt(((x[:, None] - x[net][None]) ** 2).sum(2)).min(1).max() <= radius  # covering
+        assert (np.sqrt(((x[net] - x[parents]) ** 2).sum(1)) <= 2 * radius).all() or len(above) == 1
+        above = net
+    nodes = [root]
+    while nodes:
+        n = nodes.pop()
+        assert np.sqrt(((x[n.rows] - n.centre) ** 2).sum(1)).max() <= n.radius + 1e-9
+        assert sorted(n.rows) == sorted([*n.solo, *(r for g in n.groups for r in g.rows)])
+        nodes += n.groups
+    assert sorted(root.rows) == list(range(1500)) and (root.groups or len(root.solo) > 1)
+
+
+@pytest.mark.parametrize("dims, clusters, width, share", [(64, 40, 0.3, 0.2), (8, 200, 0.1, 0.1), (64, 4000, 0.1, 1.0)])
+def test_cover_tree_prunes(dims, clusters, width, share):
+    """Unit vectors of the tables' size: clusters are left out, vectors without clusters cannot be."""
+    d = clustered(np.random.default_rng(8), 4000, dims, clusters, width)
+    q, ids = d[::50], np.arange(4000)
+    scores, found, work = cover_tree.dual_search(q, ids[::50], d, ids, 5)
+    for i, own in enumerate(ids[::50]):
+        s = sorted(((-int(x), j) for j, x in enumerate(d @ q[i]) if j != own))[:5]
+        assert sorted(zip(-scores[i], found[i])) == s
+    assert work <= share * len(q) * len(d)
+
+
+def test_cover_tree_sends_no_cells_without_hits(spark):
+    v = clustered(np.random.default_rng(9), 2000, 16, 10, 0.1)
+    df = spark.createDataFrame([(i, (x / 256).tolist()) for i, x in enumerate(v)] + [(0, (v[0] / 256).tolist()), (5000, [1.0] * 3), (5050, [2.0] * 3)],
+                               "vec_id long, embedding array<double>")
+    data = cover_tree.integer_vectors(df).withColumn("ask", F.col("id") % 50 == 0)
+    cells, centres = cover_tree._dealt(data, 5, 40, 400)
+    pairs = [p for p in cover_tree._pairs(cells, centres, 64, 8) if p[0] == 16]
+    seen = cells.where("dim = 16").groupBy("cell").agg(F.count(F.when(F.col("ask"), 1)).alias("n")).collect()
+    assert len(pairs) < 0.5 * len(seen) * sum(r["n"] > 0 for r in seen)
+    got = cover_tree.top_k(df, F.col("id") % 50 == 0, data_block=64, query_block=8, sample=400, pivots=40).collect()
+    exp = set()
+    rows = [*enumerate(v), (0, v[0])]
+    for q in range(0, 2000, 50):
+        s = sorted(((-int(v[q] @ x), i) for i, x in rows if i != q))[:5]
+        exp |= {(q, k + 1, i, -x) for k, (x, i) in enumerate(s)}
+    assert {tuple(r) for r in got} == exp | {(5000, 1, 5050, 6 * 256 ** 2), (5050, 1, 5000, 6 * 256 ** 2)}
 
 
 # -- 3 ------------------------------------------------------------------------------
