@@ -228,11 +228,12 @@ def test_line_dedup(spark, docs):
              (5, None), (6, ""), (None, line), (7, "z" * 50000)] + [(10 + i, text(rng, 12)) for i in range(20)]
     df = docs(pairs)
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
-    assert out[1]["_gone"] == [] and out[2]["_gone"] == [1] and out[3]["_gone"] == [0] and out[4]["_gone"] == []
+    assert out[1]["_gone"] == [] and out[2]["_gone"] == [1] and out[3]["_gone"] == [0]
+    assert out[4]["_gone"] == [0] and out[4]["_rest"] == ""  # short lines take part
     assert out[2]["_rest"] == pairs[1][1].split("\n")[0] and out[5]["_rest"] is None and out[6]["_rest"] == ""
     assert out[7]["_rest"] == "z" * 50000 and out[None]["_gone"] == [] and all(out[10 + i]["_gone"] == [] for i in range(20))
     kept = line_dedup.stage(spark, df, "")
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in pairs} - {3}
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in pairs} - {3, 4}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -251,6 +252,26 @@ def test_line_dedup_reads_whole_lines(docs):
     assert all(out[i] == [0] for i, _ in same)
 
 
+def test_line_dedup_of_short_lines(docs):
+    """Short lines go as repeats like any others, blank ones never; one character more makes another line."""
+    df = docs([(1, "ab\n\n  \nAB \nabc"), (2, "ab\n\n\t\nabcd"), (3, "\u3000\n\r\nabc\né"), (4, "e\nÉ\n日本\na  b"), (5, "日本\n日本語\na b")])
+    out = {r["doc_id"]: (r["_gone"], r["_lines"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert out == {1: ([3], 5), 2: ([0], 4), 3: ([2], 4), 4: ([1], 4), 5: ([0, 2], 3)}
+
+
+@pytest.mark.parametrize("groups, spread", [(1, 300), (30, 10)])
+def test_line_dedup_groups_settle(spark, docs, groups, spread):
+    """Many variants of a line, few of them like the one that bands compare first: all links are found, in star rounds or after them."""
+    rng = random.Random(groups)
+    base = [text(rng, 30) for _ in range(groups)]
+    pairs = [(g * spread + k, edit(rng, t, rng.randrange(0, 3))) for g, t in enumerate(base) for k in range(spread)]
+    s = {i: {t[k:k + 10] for k in range(len(t) - 9)} for i, t in pairs}
+    links = [(a, b) for a, b in itertools.combinations(sorted(s), 2) if 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    exp = {i for i, c in roots(s, links).items() if c != i}
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs(pairs)).collect() if r["_gone"]}
+    assert got <= exp and len(got) >= 0.99 * len(exp)
+
+
 def test_line_dedup_stage_keeps_short_lines(spark, docs):
     """A document goes only if nothing but blanks is left; short unique lines stay."""
     shared = text(random.Random(16), 20)

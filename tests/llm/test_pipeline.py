@@ -27,11 +27,12 @@ def poisson_count(doc_id, rate):
 def test_pipeline(spark, tmp_path):
     rng = random.Random(21)
     text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
-    short = lambda words: "\n".join(" ".join(words[i:i + 3]) for i in range(0, len(words), 3))  # noqa: E731 (lines that line dedup leaves alone)
+    short = lambda words: "\n".join(" ".join(words[i:i + 3]) for i in range(0, len(words), 3))
     texts = {i: text(60) for i in range(20)}
     line, near = text(20), [rng.choice(WORDS) for _ in range(120)]
-    texts |= {30: f"{line}\nverse one", 31: f"verse two\n{line}", 32: line, 40: short(near), 41: short([*near[:-3], "x", "y", "z"]), 50: None, 51: ""}
+    texts |= {30: f"{line}\nverse one", 31: f"verse two\n{line}", 32: line, 40: short(near), 41: f"{near[0]}\n" + short([*near[1:-3], "x", "y", "z"]), 50: None, 51: ""}
     texts |= {60 + i: text(3) for i in range(6)}
+    # 40 and 41 break the same words at different places, so that no line of theirs is alike
     source = {i: "small" if i >= 60 else "large" for i in texts}
     spark.createDataFrame([(i, t, "en", source[i], len(t or "")) for i, t in texts.items()],
                           "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
