@@ -46,7 +46,8 @@ class Pieces:
     data: np.ndarray        # all pieces' bytes, one after the other
     begin: np.ndarray       # where an id's bytes begin (n + 1 entries)
     byte_id: np.ndarray     # id of each byte piece
-    maybe: np.ndarray       # by the top 20 bits of a hash: is there a piece with such
+    slot: np.ndarray        # by the top 20 bits of a hash: where its pieces begin in hashes, -1 if there are none
+    most: int               # pieces that share these bits at most
 
 
 @functools.lru_cache(2)
@@ -77,9 +78,10 @@ def load_pieces(path: str, theta: float = THETA) -> Pieces:
     h = _hashes(data, begin[ids], begin[ids] + size[ids])
     order = np.argsort(h)
     weight = -theta * np.log(np.maximum(rank, 0) + OFFSET)
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(h >> np.uint64(44)).astype(np.int64)] = True
-    return Pieces(h[order], ids[order], weight, np.unique(size[ids]), data, begin, byte_id, maybe)
+    top, at, count = np.unique((h[order] >> np.uint64(44)).astype(np.int64), return_index=True, return_counts=True)
+    slot = np.full(1 << 20, -1, np.int32)
+    slot[top] = at
+    return Pieces(h[order], ids[order], weight, np.unique(size[ids]), data, begin, byte_id, slot, int(count.max()))
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,46 +102,56 @@ class Lattice:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-        at = np.arange(n)
-        small = at.astype(np.int32)
-        start, end, piece = [small], [small + np.int32(1)], [p.byte_id[data].astype(np.int32)]
-        s = at
-        left = stop - at
+        s = np.arange(n)
+        left = stop - s
+        # a place has at most one edge of each length, so a length's edges are found and put in place at once
+        found = []
         for size in p.lengths:
             s = s[left[s] >= size]
             if not len(s):
                 break
             h = mix((total[s + size] - total[s]) * inverse[s])
-            fit = np.flatnonzero(p.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            k = np.minimum(np.searchsorted(p.hashes, h[fit]), len(p.hashes) - 1)
-            ok = p.hashes[k] == h[fit]
-            fit = s[fit[ok]]
-            start.append(fit.astype(np.int32))
-            end.append((fit + size).astype(np.int32))
-            piece.append(p.ids[k[ok]].astype(np.int32))
-        start, end, piece = start[::-1], end[::-1], piece[::-1]  # long pieces, the likely ones, come first
-        start, end, piece = np.concatenate(start), np.concatenate(end), np.concatenate(piece)
-        order = np.argsort(start, kind="stable")
-        order = order[piece[order] != p.byte_id[BLANK]]  # a blank is never a byte
-        self.start, self.end, self.piece = start[order], end[order], piece[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.start, minlength=n))])
+            k = p.slot[(h >> np.uint64(44)).astype(np.int64)]
+            fit = np.flatnonzero(k >= 0)
+            h, k = h[fit], k[fit]
+            ok = p.hashes[k] == h
+            for _ in range(p.most - 1):  # the next ones with the same top bits
+                no = np.flatnonzero(~ok)
+                k[no] = np.minimum(k[no] + 1, len(p.hashes) - 1)
+                ok[no] = p.hashes[k[no]] == h[no]
+            found.append((s[fit[ok]], size, p.ids[k[ok]].astype(np.int32)))
+        byte = np.flatnonzero(data != BLANK)  # a blank is never a byte
+        found.insert(0, (byte, 1, p.byte_id[data[byte]].astype(np.int32)))
+        count = np.zeros(n, np.int64)
+        for place, _, _ in found:
+            count[place] += 1
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.start = np.repeat(np.arange(n, dtype=np.int32), count)
+        self.end, self.piece = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32)
+        free = self.first[:-1].copy()
+        for place, size, piece in found[::-1]:  # long pieces, the likely ones, come first
+            e = free[place]
+            self.end[e], self.piece[e] = place + size, piece
+            free[place] = e + 1
         w = p.weight[self.piece]
         # log of the summed weights from each place to its word's end, by distance from the end
         self.sum = np.zeros(n + 1)
-        by_left = np.argsort(left, kind="stable")
+        by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
         cut = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
         ends_word = np.zeros(n + 1, bool)
         ends_word[border] = True
         # a word's end is the next one's begin, whose sum is kept apart
         begin_sum = np.zeros(n + 1)
+        size = count[by_left]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        e = np.repeat(self.first[by_left] - begin[:-1], size) + np.arange(begin[-1])
+        sorted_w, sorted_end = w[e], self.end[e]
         for a, b in zip(cut, cut[1:]):
-            place = by_left[a:b]
-            size = self.first[place + 1] - self.first[place]
-            e = np.repeat(self.first[place] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            v = w[e] + self.sum[self.end[e]]
-            off = np.concatenate([[0], np.cumsum(size)[:-1]])
+            place, edges = by_left[a:b], slice(begin[a], begin[b])
+            v = sorted_w[edges] + self.sum[sorted_end[edges]]
+            off = begin[a:b] - begin[a]
             top = np.maximum.reduceat(v, off)
-            got = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), off))
+            got = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size[a:b])), off))
             starts_word = ends_word[place]
             self.sum[place] = np.where(starts_word, 0.0, got)
             begin_sum[place] = np.where(starts_word, got, 0.0)
@@ -230,13 +242,15 @@ def sample_texts(data: np.ndarray, off: np.ndarray, keys: np.ndarray, p: Pieces,
             other[k] = max(0.0, 1.0 - np.exp(lat.logp[list(gone)]).sum())
         few = lat.first[lat.start[path.edge] + 1] - lat.first[lat.start[path.edge]] <= 1
         other[few] = 0.0
+        number = np.arange(len(lp)) - path.first[path.text]
+        live = np.flatnonzero((other > 1e-15) & (number >= since[path.text]))  # the others have no open node
+        text = path.text[live]
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            phi = before + np.log(np.where(other > 1e-15, other, 0.0))
-            u = _uniform(keys[path.text] + mix(np.arange(len(lp)).astype(np.uint64) - path.first[path.text].astype(np.uint64) + np.uint64(turn << 40)))
-            top = parent[path.text]
-            g = phi - np.logaddexp(phi - top, np.log(-np.log(u)))
-        position = np.arange(len(lp)) - path.first[path.text]
-        g[~np.isfinite(phi) | (position < since[path.text])] = -np.inf
+            phi = before[live] + np.log(other[live])
+            u = _uniform(keys[text] + mix(number[live].astype(np.uint64) + np.uint64(turn << 40)))
+            near = phi - np.logaddexp(phi - parent[text], np.log(-np.log(u)))
+        g = np.full(len(lp), -np.inf)
+        g[live] = np.where(np.isfinite(phi), near, -np.inf)
         return run[path.first[1:]] - run[path.first[:-1]], g
 
     which, step, edge = lat.walk(place, word_key(0))

@@ -455,6 +455,26 @@ def all_segmentations(t, p):
     return out
 
 
+def test_lattice_edges():
+    """Pieces are found by a table over their top bits, also where several share these; places keep long pieces first."""
+    p = lattice.load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    top = p.hashes >> np.uint64(44)
+    assert p.most == np.unique(top, return_counts=True)[1].max() > 1
+    whole = {bytes(p.data[p.begin[i]:p.begin[i + 1]]): int(i) for i in p.ids}
+    crowded = p.ids[np.flatnonzero(np.concatenate([[False], top[1:] == top[:-1]]))]
+    words = [bytes(p.data[p.begin[i]:p.begin[i + 1]]) for i in crowded] + [b"\xff", "é日😀".encode(), b"\xff" * 3 + b"the", b"x" * 400, b"", b"q"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    border = np.concatenate([[0], np.cumsum([len(w) for w in words if w])])
+    lat = lattice.Lattice(data, border, p)
+    longest = max(map(len, whole))
+    for w, begin in zip([w for w in words if w], border):
+        for i in range(len(w)):
+            edges = [(begin + j, whole[w[i:j]]) for j in range(min(len(w), i + longest), i, -1) if w[i:j] in whole]
+            edges += [(begin + i + 1, int(p.byte_id[w[i]]))] * (w[i] != lattice.BLANK)
+            e = slice(lat.first[begin + i], lat.first[begin + i + 1])
+            assert list(zip(lat.end[e].tolist(), lat.piece[e].tolist())) == edges and (lat.start[e] == begin + i).all()
+
+
 def test_lattice_samples():
     p = lattice.load_pieces(tokenizer_path("piece_bpe_32k.model"))
     every = all_segmentations("a cat", p)
