@@ -37,6 +37,8 @@ OFTEN, FREQUENT = 16, 1 << 20
 CLASS_SIZE = 16
 #: star rounds at most before all remaining pairs are taken, and centres a set meets in one
 STAR_ROUNDS, CENTRES = 4, 4
+#: smallest open signatures that a set takes along, so that a pair is told from its other common lists
+LOW = 16
 #: longs of the parity bitmap that bounds two sets' difference
 LONGS = 16
 _NODE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -304,6 +306,22 @@ def _open(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return written(placed.join(mixed, "sig", "left_semi").select("sig", "node", "n", "component"), "open")
 
 
+def _rest(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the open lists' sets in different components that sizes and bitmaps allow.
+
+    A pair meets in every list that both sets have. It is taken in the list of
+    the smallest signature that both take along, which they both are in; only
+    a pair without such a one is taken in all its lists (and made one after).
+    """
+    taken = left.groupBy("node").agg(F.collect_set("sig").alias("all")).select("node", F.slice(F.sort_array("all"), 1, LOW).alias("low"))
+    side = left.join(nodes.select("node", "bitmap"), "node").join(taken, "node")
+    cols = lambda x: side.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}_n"),
+                                 F.col("component").alias(f"{x}_c"), F.col("bitmap").alias(f"{x}_map"), F.col("low").alias(f"{x}_low"))
+    first = F.coalesce(F.array_min(F.array_intersect("a_low", "b_low")), F.col("sig"))
+    met = cols("a").join(cols("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _close(percent) & (F.col("sig") == first))
+    return met.select("a", "b")
+
+
 def _star(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b): every set b against up to CENTRES sets a, drawn by hash from its lists' largest components."""
     centre = F.min(F.struct(F.xxhash64("node", "sig", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c")))
@@ -361,14 +379,10 @@ def join_components(documents: DataFrame, percent: int = PERCENT, often: int = O
         if size > before // 2:
             break
 
-    # what is left: all pairs of a list in different components; the join itself drops those whose bitmaps differ too much
+    # what is left: all pairs of a list in different components; the join itself drops those whose bitmaps differ too much,
+    # and a pair's other lists
     if size:
-        maps = nodes.select("node", "bitmap")
-        side = left.join(maps, "node")
-        cols = lambda x: side.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}_n"),
-                                     F.col("component").alias(f"{x}_c"), F.col("bitmap").alias(f"{x}_map"))
-        rest = (cols("a").join(cols("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _close(percent))
-                .select("a", "b").distinct())
+        rest = _rest(left, nodes, percent).distinct()
         parts = components(links.unionByName(_verified(rest, nodes, texts, percent)))
     named = docs.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
     small = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))

@@ -219,6 +219,18 @@ def test_ngram_join_links_through_null_ids(docs):
     assert got == sorted([(0, 100 * k + 1) for k in range(12)] + [(100 * k + e, 100 * k + 1) for k in range(12) for e in (1, 2)])
 
 
+def test_join_rest_takes_a_pair_once(spark):
+    """Two sets of different components meet in one of their common lists, however many these are."""
+    nodes = spark.createDataFrame([(n, [0] * ngram_join.LONGS) for n in (1, 2, 3, 4)], "node long, bitmap array<long>")
+    many = range(100, 100 + 3 * ngram_join.LOW)
+    left = [(s, n, 50, n) for s in many for n in (1, 2)]
+    left += [(s, 3, 50, 2) for s in many]                               # of 2's component
+    left += [(s, 4, 50, 4) for s in range(ngram_join.LOW)] + [(s, 4, 50, 4) for s in list(many)[-2:]]  # only lists that no one takes along
+    got = sorted(tuple(r) for r in ngram_join._rest(spark.createDataFrame(left, "sig long, node long, n int, component long"), nodes, 80).collect())
+    assert [x for x in got if 4 not in x] == [(1, 2), (1, 3)]
+    assert set(got) == {(1, 2), (1, 3), (1, 4), (2, 4), (3, 4)}
+
+
 # -- 4 ------------------------------------------------------------------------------
 
 def test_line_dedup(spark, docs):
