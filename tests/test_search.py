@@ -77,3 +77,12 @@ def test_exact_split_breaks_ties_by_row_id(spark, monkeypatch):
 def test_exact_split_of_text_ids(spark):
     df = spark.range(50).select(F.concat(F.lit("c-"), "id").alias("row_id"))
     assert FE.train_test_split(df, exact=True).where("is_test").count() == 13
+
+
+def test_registered_search_scores_every_point_on_all_rows(spark, table, monkeypatch):
+    """No point goes by its place on a sample: one row a point, of the whole table."""
+    points = [("gbt_leafwise", {"trees": 1, "max_leaves": 2}), ("gbt_leafwise", {"trees": 2, "max_leaves": 2})]
+    monkeypatch.setattr(registry, "SEARCH_POINTS", points)
+    monkeypatch.setattr(registry, "encoded_table", lambda spark, sf: table)
+    got = registry.QUERIES["grid_search"](spark, "").collect()
+    assert len(got) == len(points) and {r["share"] for r in got} == {1.0} and sum(r["is_best"] for r in got) == 1
