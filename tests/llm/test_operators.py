@@ -85,6 +85,21 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_groups_grow_with_the_entries(spark, monkeypatch):
+    """What meets in one worker is bounded, whatever the number of shuffle partitions; the rows stay the same."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 16))
+    rows = [(i, (base[i % 40] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    first = sorted(embedding_dedup.near_duplicates(df, block=16).collect())
+    found, plain = [], embedding_dedup.groups
+    monkeypatch.setattr(embedding_dedup, "GROUP", 2000)
+    monkeypatch.setattr(embedding_dedup, "groups", lambda spark, numbers: found.append((numbers, plain(spark, numbers))) or found[-1][1])
+    assert sorted(embedding_dedup.near_duplicates(df, block=16).collect()) == first
+    [(numbers, parts)] = found
+    assert numbers > 120 * 16 and parts * 2000 >= numbers and parts > 2 * common.partitions(spark)
+
+
 # -- 2 ------------------------------------------------------------------------------
 
 def test_cover_tree_top_k(spark):
